@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup
+from tessera.llm import chunks, mixture, neardup, packing, spam
 
 DEFAULT_NAMESPACE = "_default"
 
@@ -14,25 +14,103 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def namespaced(df: DataFrame) -> DataFrame:
-    return df.withColumn("namespace", F.coalesce("namespace", F.lit(DEFAULT_NAMESPACE)))
+# ---- near-duplicates
 
+NEAR = neardup.Scheme(threshold=0.6, width=3, min_words=20)
 
-P1_SCHEME = neardup.Scheme(threshold=0.6, width=3, min_words=20)
 
-
-def p1_near_duplicates(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
-    docs = namespaced(table(spark, sf_dir, "doc_store").select("row_id", "namespace", "content"))
-    return neardup.near_duplicates(docs, "row_id", "content", "namespace", P1_SCHEME)
+def _near(spark: SparkSession, sf_dir: str) -> neardup.NearDuplicates:
+    docs = table(spark, sf_dir, "doc_store").select("row_id", F.coalesce("namespace", F.lit(DEFAULT_NAMESPACE)).alias("namespace"), "content")
+    return neardup.near_duplicates(docs, "row_id", "content", "namespace", NEAR)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return p1_near_duplicates(spark, sf_dir).pairs().select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+    return _near(spark, sf_dir).pairs().select(F.col("id_a").alias("row_id_a"), F.col("id_b").alias("row_id_b"))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per text that takes part: its class of equal texts, its group and the number of linked classes."""
+    return _near(spark, sf_dir).grouped().withColumnRenamed("id", "row_id")
+
+
+# ---- pieces
+
+PIECE = chunks.Limits(size=1200, overlap=120)
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the oversized contents."""
+    return chunks.split_texts(table(spark, sf_dir, "doc_store"), "row_id", "content", PIECE, only_oversized=True).withColumnRenamed("id", "row_id")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("piece = 1").select("row_id")
+
+
+# ---- containers
+
+CAPACITIES = (512, 1024, 2048, 4096)
+
+
+def p7_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every text goes."""
+    return packing.pack_texts(table(spark, sf_dir, "documents"), "doc_id", "text", CAPACITIES).withColumnRenamed("id", "doc_id")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p7_placed(spark, sf_dir).where("piece = 1").select("doc_id")
+
+
+def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins, tokens and unused places by capacity."""
+    bins = p7_placed(spark, sf_dir).where("bin is not null").groupBy("bin", "capacity").agg(F.sum("n_tokens").alias("n"))
+    return bins.groupBy("capacity").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_tokens"), F.sum(F.col("capacity") - F.col("n")).alias("n_unused"))
+
+
+# ---- mixture
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> mixture.Mixture:
+    return mixture.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+
+
+def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and the shares reached."""
+    return _mixture(spark, sf_dir).report
+
+
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every use of a document."""
+    return _mixture(spark, sf_dir).rows().withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_report(spark, sf_dir).where("short").select("source")
+
+
+# ---- pages of keywords, links and tags
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of characters of every text by label."""
+    return spam.page_shares(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_shares(spark, sf_dir).where("spam").select("doc_id")
 
 
 def queries() -> dict:
-    return {"p1_found": p1_found}
+    found = (p1_found, p1_groups, p3_found, p3_pieces, p7_found, p7_placed, p7_filling, p8_found, p8_report, p8_mixture, p9_found, p9_shares)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": f"SELECT row_id FROM doc_store WHERE length(content) > {PIECE.size}",
+        # characters give the same answer as tokens
+        "p8_found": """
+            WITH s AS (SELECT replace(lower(trim(source)), '-', '_') AS source, sum(length(text)) AS n FROM documents GROUP BY 1)
+            SELECT t.source FROM mix_targets t LEFT JOIN s ON s.source = replace(lower(trim(t.source)), '-', '_')
+            WHERE coalesce(s.n, 0) * t.max_repeats < t.target_share * (SELECT sum(n) FROM s)""",
+    }
