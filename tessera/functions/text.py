@@ -11,13 +11,12 @@ from pyspark.sql import functions as F
 # ---- tokens and stems
 
 _BLANKS = r"(?U)\s+"
-_NOT_ALNUM = r"[^\p{L}\p{N}]"
 
 
 def tokens(text: Column, stem: bool = False) -> Column:
     """Lower-case words: split at blanks, everything but letters and digits deleted, empty ones left out."""
-    words = F.transform(F.split(F.lower(text), _BLANKS), lambda w: F.regexp_replace(w, _NOT_ALNUM, ""))
-    words = F.filter(words, lambda w: w != "")
+    # one pass over the text: deleting before the split gives the same words as deleting within each
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}\s]+", ""), _BLANKS), lambda w: w != "")
     return F.transform(words, stem_word) if stem else words
 
 
@@ -174,7 +173,10 @@ DYNAMIC: dict[str, list[str]] = {
 def dynamic_pattern(*categories: str) -> str:
     """One pattern for all of the categories (all there are by default); unknown ones match nothing."""
     chosen = [p for c in (categories or DYNAMIC) for p in DYNAMIC.get(c, [])]
-    return "(?i)(?:" + "|".join(chosen) + ")" if chosen else r"[^\s\S]"
+    # what begins at a word boundary is tried at word boundaries only
+    inner = [p.removeprefix(r"\b") for p in chosen if p.startswith(r"\b")]
+    parts = [r"\b(?:" + "|".join(inner) + ")"] * bool(inner) + [p for p in chosen if not p.startswith(r"\b")]
+    return "(?i)(?:" + "|".join(parts) + ")" if parts else r"[^\s\S]"
 
 
 def contains_dynamic(text: Column, *categories: str) -> Column:

@@ -54,7 +54,7 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int, src: str = "sour
     ``starts`` ``(start)`` may be many.  Each step joins the frontier with the edges and drops what was seen; it is staged, so no
     step is computed twice.
     """
-    e = edges.where(f"`{src}` is not null and `{dst}` is not null").select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
+    e = stage(edges.where(f"`{src}` is not null and `{dst}` is not null").select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct(), "edges")
     seen = stage(starts.where("start is not null").select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct(), "bfs")
     frontier = seen
     layers = [seen]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.nested import json_matches
 from tessera.functions.text import plain_tokens, tokens
+from tessera.staging import stage
 
 
 def term_overlap(docs: DataFrame, id_col: str, text: Column, query: list[str], k: int, stem: bool = False, punctuation: bool = False) -> DataFrame:
@@ -24,12 +23,17 @@ def term_overlap(docs: DataFrame, id_col: str, text: Column, query: list[str], k
     return docs.withColumn("score", F.coalesce(score, F.lit(0.0))).where("score > 0").orderBy(F.desc("score"), id_col).limit(k)
 
 
-def postings(docs: DataFrame, id_col: str, text: Column, stem: bool = False) -> DataFrame:
-    """``(id, term, tf, length)``: each row's terms, counted inside the row, so that nothing is shuffled."""
-    words = tokens(text, stem)
-    listed = docs.select(F.col(id_col).alias("id"), words.alias("w"))
-    counted = listed.select("id", F.size("w").alias("length"), F.explode(F.array_distinct("w")).alias("term"), "w")
-    return counted.select("id", "term", F.size(F.filter("w", lambda x: x == F.col("term"))).alias("tf"), "length")
+def vocabulary(docs: DataFrame, text: Column, stem: bool = False) -> tuple[DataFrame, int, float]:
+    """``(term, df)``, the number of rows and their mean length, in one pass that combines before its shuffle.
+
+    Each row also counts under the empty term, which no text has; there its length is summed.
+    """
+    words = docs.select(tokens(text, stem).alias("w")).where("w is not null")
+    each = words.select(F.explode(F.array_append(F.array_distinct("w"), F.lit(""))).alias("term"), F.size("w").alias("length"))
+    counted = stage(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("length")), "terms")
+    whole = counted.where("term = ''").first()
+    n = whole["df"] if whole else 0
+    return counted.where("term <> ''").select("term", "df"), n, (whole["length"] / n if n else 0.0) or 1.0
 
 
 def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_id: str, query_text: Column, k: int, stem: bool = False, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
@@ -38,17 +42,17 @@ def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_i
     A term in more than half of the rows, whose weight would be negative, weighs ``epsilon`` times the mean weight of all
     terms.  A query's term counts as often as the query repeats it.  The corpus is what ``docs`` holds: filter it before.
 
-    Postings of query terms alone are joined; document frequencies come from one aggregation that combines before its shuffle.
+    Words meet the queries' terms before they are counted, so that only their postings are shuffled.
     """
-    post = postings(docs, id_col, text, stem)
+    terms, n, average = vocabulary(docs, text, stem)
     asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(query_text, stem)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
-    stats = docs.select(F.size(tokens(text, stem)).alias("n")).agg(F.count("n").alias("n"), F.avg("n").alias("avg")).first()
-    n, average = stats["n"], stats["avg"] or 1.0
-    raw = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    terms = post.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", raw)
+    terms = terms.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.agg(F.avg("idf")).first()[0] or 0.0
     idf = F.when(F.col("idf") < 0, F.lit(epsilon * mean)).otherwise(F.col("idf"))
-    weights = terms.join(asked.select("term").distinct(), "term", "left_semi").select("term", idf.alias("idf"))
+    wanted = asked.select("term").distinct()
+    weights = terms.join(wanted, "term", "left_semi").select("term", idf.alias("idf"))
+    words = docs.select(F.col(id_col).alias("id"), tokens(text, stem).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    post = words.join(wanted, "term", "left_semi").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
     scored = post.join(asked, "term").join(weights, "term").groupBy("q", "id").agg(F.sum(part).alias("raw"))
     best = F.max("raw").over(Window.partitionBy("q"))
@@ -109,10 +113,6 @@ def _query_terms(docs: DataFrame, query: str, mode: str, stem: bool) -> list[str
     return one.select(plain_tokens(F.col("q")) if mode == "plain" else tokens(F.col("q"), stem)).first()[0]
 
 
-def idf_by_hand(n: int, df: int) -> float:
-    return math.log(n - df + 0.5) - math.log(df + 0.5)
-
-
 # ---- the documents of a store
 
 
