@@ -121,7 +121,7 @@ def split_any(s: Column, seps: list[str], most: int = -1, strip: bool = False, d
     """Split at any of the separators, optionally stripped, without empty parts, or padded to a length."""
     parts = F.split(s, "|".join(map(_quote, sorted(seps, key=len, reverse=True))), most)
     if strip:
-        parts = F.transform(parts, F.trim)
+        parts = F.transform(parts, lambda p: F.trim(p))
     if drop_empty:
         parts = F.filter(parts, lambda p: p != "")
     if pad_to is not None:

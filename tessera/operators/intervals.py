@@ -25,11 +25,12 @@ def has_overlap(df: DataFrame, start: str, end: str, by: list[str] = ()) -> Data
 def max_overlap(df: DataFrame, start: str, end: str, by: list[str] = ()) -> DataFrame:
     """``(*by, peak)``: how many intervals are open at once.  An interval ends before another that starts there begins; one of no
     length counts at its own start."""
-    point = F.struct(F.col(start).alias("t"), F.lit(1).alias("o"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.when(F.col(end) > F.col(start), 0).otherwise(2).alias("o"), F.lit(-1).alias("d"))
+    named = lambda at, order, step: F.struct(at.alias("__t"), order.alias("__o"), F.lit(step).alias("__d"))
+    point = named(F.col(start), F.lit(1), 1), named(F.col(end), F.when(F.col(end) > F.col(start), 0).otherwise(2), -1)
     events = df.select(*by, F.inline(F.array(*point)))
     # ends of proper intervals first, then starts, then ends of those of no length
-    w = Window.partitionBy(*by).orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("n", F.sum("d").over(w)).groupBy(*by).agg(F.max("n").alias("peak"))
+    w = Window.partitionBy(*by).orderBy("__t", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    return events.withColumn("__n", F.sum("__d").over(w)).groupBy(*by).agg(F.max("__n").alias("peak"))
 
 
 def interval_join(left: DataFrame, right: DataFrame, l_start: str, l_end: str, r_start: str, r_end: str, width: float, by: list[str] = ()) -> DataFrame:

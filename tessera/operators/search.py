@@ -36,11 +36,11 @@ def vocabulary(docs: DataFrame, text: Column, stem: bool = False) -> tuple[DataF
     return counted.where("term <> ''").select("term", "df"), n, (whole["length"] / n if n else 0.0) or 1.0
 
 
-def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_id: str, query_text: Column, k: int, stem: bool = False, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
+def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_id: str, query_text: Column, k: int, stem: bool = False, k1: float = 1.5, b: float = 0.75, epsilon: float | None = 0.25, only: DataFrame | None = None) -> DataFrame:
     """``(query_id, id, score, rank)``: the ``k`` best rows of each query by BM25, scores over the query's best; ties by id.
 
     A term in more than half of the rows, whose weight would be negative, weighs ``epsilon`` times the mean weight of all
-    terms.  A query's term counts as often as the query repeats it.  The corpus is what ``docs`` holds: filter it before.
+    terms (without ``epsilon``: 1e-6).  ``only`` ``(id)`` bounds what may be found, not the corpus.  A query's term counts as often as the query repeats it.  The corpus is what ``docs`` holds: filter it before.
 
     Words meet the queries' terms before they are counted, so that only their postings are shuffled.
     """
@@ -48,11 +48,12 @@ def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_i
     asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(query_text, stem)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
     terms = terms.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.agg(F.avg("idf")).first()[0] or 0.0
-    idf = F.when(F.col("idf") < 0, F.lit(epsilon * mean)).otherwise(F.col("idf"))
+    idf = F.greatest("idf", F.lit(1e-6)) if epsilon is None else F.when(F.col("idf") < 0, F.lit(epsilon * mean)).otherwise(F.col("idf"))
     wanted = asked.select("term").distinct()
     weights = terms.join(wanted, "term", "left_semi").select("term", idf.alias("idf"))
     words = docs.select(F.col(id_col).alias("id"), tokens(text, stem).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
     post = words.join(wanted, "term", "left_semi").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
+    post = post if only is None else post.join(only, "id", "left_semi")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
     scored = post.join(asked, "term").join(weights, "term").groupBy("q", "id").agg(F.sum(part).alias("raw"))
     best = F.max("raw").over(Window.partitionBy("q"))
@@ -98,10 +99,12 @@ def search(docs: DataFrame, query: str, k: int = 5, mode: str = "overlap", id_co
     text = F.col(text_col)
     if mode in ("overlap", "plain"):
         return term_overlap(docs, id_col, text, words, k, stem and mode == "overlap", punctuation=mode == "plain")
+    only = None
     if mode == "all":
-        docs = docs.where(F.size(F.array_intersect(tokens(text, stem), F.array(*map(F.lit, sorted(set(words)))))) == len(set(words)))
+        every = F.size(F.array_intersect(tokens(text, stem), F.array(*map(F.lit, sorted(set(words)))))) == len(set(words))
+        only = docs.where(every).select(F.col(id_col).alias("id"))
     asked = docs.sparkSession.createDataFrame([(0, query)], "q int, t string")
-    hits = bm25(docs, id_col, text, asked, "q", F.col("t"), k, stem)
+    hits = bm25(docs, id_col, text, asked, "q", F.col("t"), k, stem, epsilon=0.25 if only is None else None, only=only)
     return docs.join(hits.select(F.col("id").alias(id_col), "score"), id_col).orderBy(F.desc("score"), id_col)
 
 

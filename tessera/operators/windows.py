@@ -124,10 +124,11 @@ def side_max(df: DataFrame, value: str, pos: str, by: list[str], right: bool = T
 def longest_run(df: DataFrame, value: str, by: list[str], order: list[str]) -> DataFrame:
     """``(*by, length, start)``: the longest strictly increasing stretch of rows, the first of equals; ``start`` counts from 0."""
     w = _ordered(by, order)
-    marked = df.select(*by, F.row_number().over(w).alias("i"), (F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(False))).alias("up"))
-    islands = marked.withColumn("g", F.sum((~F.col("up")).cast("int")).over(Window.partitionBy(*by).orderBy("i")))
-    runs = islands.groupBy(*by, "g").agg(F.count("*").alias("length"), (F.min("i") - 1).alias("start"))
-    return runs.groupBy(*by).agg(F.max(F.struct("length", (-F.col("start")).alias("s"))).alias("m")).select(*by, "m.length", (-F.col("m.s")).alias("start"))
+    marked = df.select(*by, F.row_number().over(w).alias("__i"), (F.coalesce(F.col(value) > F.lag(value).over(w), F.lit(False))).alias("__up"))
+    islands = marked.withColumn("__g", F.sum((~F.col("__up")).cast("int")).over(Window.partitionBy(*by).orderBy("__i")))
+    runs = islands.groupBy(*by, "__g").agg(F.count("*").alias("__n"), (F.min("__i") - 1).alias("__s"))
+    best = runs.groupBy(*by).agg(F.max(F.struct("__n", (-F.col("__s")).alias("__s"))).alias("__m"))
+    return best.select(*by, F.col("__m.__n").alias("length"), (-F.col("__m.__s")).alias("start"))
 
 
 def running(df: DataFrame, value: str, by: list[str], order: list[str], out: str = "running") -> DataFrame:

@@ -24,7 +24,22 @@ def _copy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return diff.latest(scans.where("rel_path is not null"), ["rel_path"], ["scanned_at", "scan_id"])
 
 
-@query()
+# ``..`` goes with the segment before it, as often as segments can stand in a row
+_PLAIN = r"regexp_replace(replace(nfc_normalize(abs_path), '\', '/'), '(/\.?)+(/|$)', '/', 'g')"
+for _ in range(6):
+    _PLAIN = rf"regexp_replace({_PLAIN}, '/[^/]+/\.\.(/|$)', '/')"
+
+
+@query(
+    rf"""WITH s AS (SELECT lower(trim(root_name)) AS root, scan_id, scanned_at, size, nullif(ltrim(regexp_replace(lower(regexp_replace(sha256, '\s+', '', 'g')), '^(sha256:|0x)', ''), '0'), '') AS sha,
+    {_PLAIN} AS path FROM file_candidates WHERE lower(trim(root_name)) IN ('north_copy', 'south_copy')),
+    r AS (SELECT *, CASE root WHEN 'north_copy' THEN substr(path, length('/srv/north/data/') + 1) ELSE substr(path, length('D:/south/data/') + 1) END AS rel FROM s),
+    l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY root, rel ORDER BY scanned_at DESC, scan_id DESC) = 1),
+    j AS (SELECT coalesce(n.rel, s.rel) AS rel, n.rel IS NULL AS no_n, s.rel IS NULL AS no_s, n.size IS DISTINCT FROM s.size AS z, n.sha IS DISTINCT FROM s.sha AS h
+    FROM (SELECT * FROM l WHERE root = 'north_copy') n FULL JOIN (SELECT * FROM l WHERE root = 'south_copy') s ON n.rel = s.rel)
+    SELECT rel AS rel_path, 'missing_in_north' AS diff FROM j WHERE no_n UNION ALL SELECT rel, 'missing_in_south' FROM j WHERE no_s
+    UNION ALL SELECT rel, 'size' FROM j WHERE NOT no_n AND NOT no_s AND z UNION ALL SELECT rel, 'sha256' FROM j WHERE NOT no_n AND NOT no_s AND h"""
+)
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     north, south = (_copy(spark, sf_dir, f"{side}_copy") for side in ("north", "south"))
     return diff.compare_copies(north, south, ["rel_path"], ["size", "sha256"], "north", "south").select("rel_path", "diff")
@@ -58,7 +73,23 @@ def manifest_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     return sessions, turns, artifacts
 
 
-@query()
+def _elements(x: str) -> str:
+    """SQL for the elements of a list however it is spelled."""
+    plain = f"(CASE WHEN json_type({x}) = 'VARCHAR' THEN CAST({x} ->> '$' AS JSON) ELSE {x} END)"
+    return (
+        f"(CASE WHEN json_type({plain}) = 'ARRAY' THEN json_extract({plain}, '$[*]') WHEN json_type({plain}) <> 'OBJECT' THEN [] WHEN len(list_filter(json_keys({plain}), lambda k: NOT regexp_full_match(k, '[0-9]+'))) = 0"
+        f" THEN list_transform(json_keys({plain}), lambda k: json_extract({plain}, '$.\"' || k || '\"')) ELSE [{plain}] END)"
+    )
+
+
+_CURRENT = f"""WITH m AS (SELECT manifest_id, CAST(manifest AS JSON) AS j, written_at FROM session_manifests WHERE json_valid(manifest)),
+    c AS (SELECT j ->> '$.session_id' AS session_id, j -> '$.turns' AS turns FROM m QUALIFY row_number() OVER (PARTITION BY j ->> '$.session_id' ORDER BY written_at DESC, manifest_id DESC) = 1),
+    t AS (SELECT session_id, unnest({_elements("turns")}) AS turn FROM c), a AS (SELECT session_id, turn, unnest({_elements("(turn -> '$.artifacts')")}) AS artifact FROM t)"""
+
+
+@query(
+    f"{_CURRENT} SELECT DISTINCT session_id, CAST(CAST(turn ->> '$.turn_number' AS DOUBLE) AS BIGINT) AS turn_number, artifact ->> '$.path' AS artifact_path FROM a WHERE artifact ->> '$.path' IS NOT NULL"
+)
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     artifacts = manifest_tables(spark, sf_dir)[2].where("path is not null")
     return artifacts.select("session_id", "turn_number", F.col("path").alias("artifact_path")).distinct()
@@ -76,6 +107,7 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- small files
 
+#: Files below this size are small; files are written up to the second.
 SMALL_BYTES, FILE_BYTES = 4096, 1 << 20
 
 
@@ -98,7 +130,15 @@ def compacted_session_files(spark: SparkSession, sf_dir: str) -> compaction.Comp
     return compaction.compact(small_session_files(spark, sf_dir), "name", "body", records, new_path(spark, "compacted"), FILE_BYTES)
 
 
-@query()
+_SEGMENTS = "array_to_string(list_filter(string_split(replace({}, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/')"
+
+
+@query(
+    f"""{_CURRENT}, n AS (SELECT session_id, turn ->> '$.log_file' AS p FROM t UNION ALL SELECT session_id, artifact ->> '$.path' FROM a),
+    w AS (SELECT DISTINCT session_id, {_SEGMENTS.format("p")} AS path FROM n WHERE p IS NOT NULL),
+    f AS (SELECT session_id, {_SEGMENTS.format("file_path")} AS path, body FROM session_files QUALIFY row_number() OVER (PARTITION BY session_id, {_SEGMENTS.format("file_path")} ORDER BY written_at DESC, file_id DESC) = 1)
+    SELECT session_id, path AS file_path FROM f SEMI JOIN w USING (session_id, path) WHERE strlen(coalesce(body, '')) < {SMALL_BYTES}"""
+)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = F.split("name", "\n", 2)
     return compacted_session_files(spark, sf_dir).manifest.select(parts[0].alias("session_id"), parts[1].alias("file_path"))

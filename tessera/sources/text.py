@@ -110,10 +110,10 @@ def write_lines(df: DataFrame, path: str, column: str = "value", append: bool =
 
 def read_whole(spark: SparkSession, paths: str | list[str], glob: str | None = None, recursive: bool = True) -> DataFrame:
     """``(path, value)``: a row per file."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive)
+    reader = spark.read.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(paths).select(F.col("_metadata.file_path").alias("path"), "value")
+    return reader.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
 
 
 # ---- listings
