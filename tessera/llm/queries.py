@@ -107,6 +107,15 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p1_found": r"""
+            WITH RECURSIVE w AS (SELECT row_id, coalesce(namespace, '_default') AS ns, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM doc_store WHERE content IS NOT NULL),
+            s AS (SELECT row_id, ns, list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS g FROM w WHERE len(w) >= 20),
+            x AS (SELECT row_id, ns, len(g) AS n, unnest(g) AS g FROM s),
+            l AS (SELECT a.row_id AS a, b.row_id AS b FROM x a JOIN x b ON a.ns = b.ns AND a.g = b.g AND a.row_id < b.row_id GROUP BY a.row_id, b.row_id
+                HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6),
+            u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+            r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+            SELECT a AS row_id_a, b AS row_id_b FROM r WHERE a < b""",
         "p3_found": f"SELECT row_id FROM doc_store WHERE length(content) > {PIECE.size}",
         # characters give the same answer as tokens
         "p8_found": """
