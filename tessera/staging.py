@@ -43,3 +43,11 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the number of hash buckets an operator cuts its work into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def buckets_for(df: DataFrame, bytes_each: int) -> int:
+    """Hash buckets for work on ``df``: no fewer than shuffle partitions, and so many that each stands for at most
+    ``bytes_each`` of the input by the optimizer's estimate, since a bucket is held by one task as a whole; 32,768 at most, beyond
+    which the blocks of a bucket get too small to be worth packing."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(parallelism(df.sparkSession), min(-(-size // bytes_each), 1 << 15))
