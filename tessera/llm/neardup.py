@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 from tessera.llm.packing64 import U, mix, pack, ranges, unpack
 from tessera.llm.shingles import BITS, shingle_sets, slices
 from tessera.operators.components import connected_components
-from tessera.staging import parallelism, stage
+from tessera.staging import buckets_for, stage
 
+#: Estimated input per bucket of signatures: about a million entries, 50 MB when unpacked.
+BUCKET_BYTES = 1 << 20
 DOC_BITS, KIND_BITS = 18, 3
 SIG_BITS = 64 - DOC_BITS - KIND_BITS
 #: Kinds of signature entries: whole subset of one shingle, of more, subset lacking one; +3 when taken in the next smaller band.
@@ -442,10 +444,9 @@ def near_duplicates(
     their names.  An empty table gives empty results.
     """
     scheme = scheme or Scheme()
-    spark = df.sparkSession
-    buckets = parallelism(spark)
     group = F.lit(0).cast("bigint") if group_col is None else F.when(F.col(group_col).isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.col(group_col)))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), group.alias("salt"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    buckets = buckets_for(rows, BUCKET_BYTES)
     blocks = rows.mapInArrow(_index_rows(scheme, buckets), BLOCKS)
     matched = blocks.groupBy("part").applyInArrow(_match_bucket(scheme, buckets), BLOCKS)
     decided = stage(matched.groupBy("part").applyInArrow(_decide(scheme), "kind tinyint, a bigint, b bigint"), "nd-decided")
