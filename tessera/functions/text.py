@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 # ---- tokens and stems
 
-_BLANKS = r"(?U)\s+"
+# fixed values: the characters at which text is split
+_BLANK = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANKS = f"[{_BLANK}]+"
 
 
 def tokens(text: Column, stem: bool = False) -> Column:
     """Lower-case words: split at blanks, everything but letters and digits deleted, empty ones left out."""
     # one pass over the text: deleting before the split gives the same words as deleting within each
-    words = F.filter(F.split(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}\s]+", ""), _BLANKS), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(F.lower(text), rf"[^\p{{L}}\p{{N}}{_BLANK}]+", ""), _BLANKS), lambda w: w != "")
     return F.transform(words, stem_word) if stem else words
 
 

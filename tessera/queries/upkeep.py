@@ -45,6 +45,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diff.compare_copies(north, south, ["rel_path"], ["size", "sha256"], "north", "south").select("rel_path", "diff")
 
 
+@query()
+def p2_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs, with both values."""
+    north, south = (_copy(spark, sf_dir, f"{side}_copy") for side in ("north", "south"))
+    return diff.compare_copies(north, south, ["rel_path"], ["size", "sha256"], "north", "south")
+
+
 # ---- manifests
 
 LISTS = ("turns", "artifacts")
@@ -105,6 +112,11 @@ def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_tables(spark, sf_dir)[1].drop("doc")
 
 
+@query()
+def p5_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_tables(spark, sf_dir)[2].drop("doc", "parent")
+
+
 # ---- small files
 
 #: Files below this size are small; files are written up to the second.
@@ -148,7 +160,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that were written: rows and bytes of body in each."""
     done = compacted_session_files(spark, sf_dir)
-    data = spark.read.parquet(f"{done.path}/data")
+    data = spark.read.parquet(f"{done.path}/data").withColumn("bin", F.col("bin").cast("bigint"))
     return data.groupBy("bin").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("body")).alias("n_bytes"), F.countDistinct("session_id").alias("n_sessions"))
 
 
@@ -202,3 +214,22 @@ def p6_newest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest row of every key of every namespace of the key-value log."""
     rows = table(spark, sf_dir, "kv_store").select(_namespace().alias("namespace"), "item_key", "updated_at", "put_id", "value_json")
     return hotkeys.newest_rows(rows, "namespace", "item_key", ["updated_at", "put_id"]).select("namespace", "item_key", "put_id", "value_json")
+
+
+@query(
+    """SELECT coalesce(namespace, '_default') AS namespace, doc_id, row_id FROM doc_store
+    QUALIFY row_number() OVER (PARTITION BY coalesce(namespace, '_default'), doc_id ORDER BY TRY_CAST(updated_at AS TIMESTAMPTZ) DESC NULLS LAST, row_id DESC) = 1"""
+)
+def p6_newest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest version of every document, times without a zone being UTC."""
+    rows = table(spark, sf_dir, "doc_store").select(_namespace().alias("namespace"), "doc_id", F.col("updated_at").try_cast("timestamp").alias("at"), "row_id")
+    return hotkeys.newest_rows(rows, "namespace", "doc_id", ["at", "row_id"]).select("namespace", "doc_id", "row_id")
+
+
+@query(
+    "SELECT coalesce(namespace, '_default') AS namespace, arg_max(doc_id, {'t': fetched_at, 'd': doc_id}) AS doc_id FROM documents WHERE fetched_at IS NOT NULL GROUP BY ALL"
+)
+def p6_newest_fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document fetched last in every namespace."""
+    rows = table(spark, sf_dir, "documents").where("fetched_at is not null").select(_namespace().alias("namespace"), "fetched_at", "doc_id")
+    return diff.latest(rows, ["namespace"], ["fetched_at", "doc_id"]).select("namespace", "doc_id")
