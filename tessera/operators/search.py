@@ -20,7 +20,12 @@ def term_overlap(docs: DataFrame, id_col: str, text: Column, query: list[str], k
         return docs.withColumn("score", F.lit(0.0)).limit(0)
     words = plain_tokens(text) if punctuation else tokens(text, stem)
     score = F.size(F.array_intersect(words, F.array(*map(F.lit, terms)))) / F.lit(float(len(terms)))
-    return docs.withColumn("score", F.coalesce(score, F.lit(0.0))).where("score > 0").orderBy(F.desc("score"), id_col).limit(k)
+    # rows without any term come last: dropped after the limit, they do not make the score be computed twice
+    return docs.withColumn("score", F.coalesce(score, F.lit(0.0))).orderBy(F.desc("score"), id_col).limit(k).where("score > 0")
+
+
+#: Query terms that are broadcast at most; beyond, words are shuffled by term.
+MOST_TERMS = 100_000
 
 
 def vocabulary(docs: DataFrame, text: Column, stem: bool = False) -> tuple[DataFrame, int, float]:
@@ -28,8 +33,9 @@ def vocabulary(docs: DataFrame, text: Column, stem: bool = False) -> tuple[DataF
 
     Each row also counts under the empty term, which no text has; there its length is summed.
     """
-    words = docs.select(tokens(text, stem).alias("w")).where("w is not null")
-    each = words.select(F.explode(F.array_append(F.array_distinct("w"), F.lit(""))).alias("term"), F.size("w").alias("length"))
+    words = docs.where(text.isNotNull()).select(tokens(text, stem).alias("w"))
+    # the outer form, as for the inner one the optimizer adds a filter that computes the words once more
+    each = words.select(F.explode_outer(F.array_append(F.array_distinct("w"), F.lit(""))).alias("term"), F.size("w").alias("length"))
     counted = stage(each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "", F.col("length"))).alias("length")), "terms")
     whole = counted.where("term = ''").first()
     n = whole["df"] if whole else 0
@@ -42,16 +48,19 @@ def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_i
     A term in more than half of the rows, whose weight would be negative, weighs ``epsilon`` times the mean weight of all
     terms (without ``epsilon``: 1e-6).  ``only`` ``(id)`` bounds what may be found, not the corpus.  A query's term counts as often as the query repeats it.  The corpus is what ``docs`` holds: filter it before.
 
-    Words meet the queries' terms before they are counted, so that only their postings are shuffled.
+    Words meet the queries' terms before they are counted; up to ``MOST_TERMS`` of these are broadcast, so that only their
+    postings are shuffled.
     """
     terms, n, average = vocabulary(docs, text, stem)
     asked = queries.select(F.col(query_id).alias("q"), F.explode(tokens(query_text, stem)).alias("term")).groupBy("q", "term").agg(F.count("*").alias("times"))
     terms = terms.withColumn("idf", F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = terms.agg(F.avg("idf")).first()[0] or 0.0
     idf = F.greatest("idf", F.lit(1e-6)) if epsilon is None else F.when(F.col("idf") < 0, F.lit(epsilon * mean)).otherwise(F.col("idf"))
-    wanted = asked.select("term").distinct()
+    wanted = stage(asked.select("term").distinct(), "asked")
+    if wanted.limit(MOST_TERMS + 1).count() <= MOST_TERMS:
+        wanted = F.broadcast(wanted)
     weights = terms.join(wanted, "term", "left_semi").select("term", idf.alias("idf"))
-    words = docs.select(F.col(id_col).alias("id"), tokens(text, stem).alias("w")).select("id", F.size("w").alias("length"), F.explode("w").alias("term"))
+    words = docs.select(F.col(id_col).alias("id"), tokens(text, stem).alias("w")).select("id", F.size("w").alias("length"), F.explode_outer("w").alias("term"))
     post = words.join(wanted, "term", "left_semi").groupBy("id", "term", "length").agg(F.count("*").alias("tf"))
     post = post if only is None else post.join(only, "id", "left_semi")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
