@@ -123,23 +123,22 @@ def p5_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL_BYTES, FILE_BYTES = 4096, 1 << 20
 
 
-def small_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(name, session_id, path, kind, body)`` of the named files whose body as last written is small."""
+def named_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(name, session_id, path, kind, body)`` of the named files as last written, whatever their size."""
     _, turns, artifacts = manifest_tables(spark, sf_dir)
     named = turns.select("session_id", plain_path(F.col("log_file")).alias("path")).unionByName(artifacts.select("session_id", plain_path(F.col("path")).alias("path")))
     named = named.where("path <> ''").distinct()
     files = table(spark, sf_dir, "session_files").withColumn("path", plain_path(F.col("file_path")))
     files = files.select("session_id", "path", "written_at", "file_id", "kind", "body").join(named, ["session_id", "path"], "left_semi")
     files = diff.latest(files, ["session_id", "path"], ["written_at", "file_id"])
-    small = files.where(F.coalesce(F.octet_length("body"), F.lit(0)) < SMALL_BYTES)
-    return small.select(F.concat_ws("\n", "session_id", "path").alias("name"), "session_id", "path", "kind", "body")
+    return files.select(F.concat_ws("\n", "session_id", "path").alias("name"), "session_id", "path", "kind", "body")
 
 
 def compacted_session_files(spark: SparkSession, sf_dir: str) -> compaction.Compacted:
     def records(binned: DataFrame) -> DataFrame:
         return compaction.log_records(binned, "session_id", "path", "kind", "body", F.col("path"))
 
-    return compaction.compact(small_session_files(spark, sf_dir), "name", "body", records, new_path(spark, "compacted"), FILE_BYTES)
+    return compaction.compact(named_session_files(spark, sf_dir), "name", "body", records, new_path(spark, "compacted"), FILE_BYTES)
 
 
 _SEGMENTS = "array_to_string(list_filter(string_split(replace({}, '\\', '/'), '/'), lambda s: s NOT IN ('', '.')), '/')"
@@ -152,8 +151,9 @@ _SEGMENTS = "array_to_string(list_filter(string_split(replace({}, '\\', '/'), '/
     SELECT session_id, path AS file_path FROM f SEMI JOIN w USING (session_id, path) WHERE strlen(coalesce(body, '')) < {SMALL_BYTES}"""
 )
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The small ones of the named files, all of which are compacted."""
     parts = F.split("name", "\n", 2)
-    return compacted_session_files(spark, sf_dir).manifest.select(parts[0].alias("session_id"), parts[1].alias("file_path"))
+    return compacted_session_files(spark, sf_dir).manifest.where(F.col("n_bytes") < SMALL_BYTES).select(parts[0].alias("session_id"), parts[1].alias("file_path"))
 
 
 @query()

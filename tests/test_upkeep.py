@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tessera.functions.paths import below, plain_path, plain_segments
 from tessera.operators import compaction, diff, hotkeys, shred
 from tessera.operators.components import connected_components
+from tessera.queries import upkeep
 from tessera.staging import new_path
 
 # ---- copies
@@ -119,6 +120,21 @@ def test_compaction_odd(spark):
         compaction.compact(df, "name", "body", lambda d: d.select("bin", "body"), done.path)
 
 
+def test_compaction_takes_every_named_file(spark, tmp_path):
+    """Large logs and artifacts are written too, a record that a small and a large log share once, and p4_found lists small files."""
+    large = LINES("s.1", *[f"s.{i}" for i in range(10, 300)])
+    turns = [{"turn_number": 1, "log_file": "a.log", "artifacts": [{"path": "x/big"}, {"path": "x/tiny"}]}, {"turn_number": 2, "log_file": "./b.log", "artifacts": []}]
+    spark.createDataFrame([(1, 1, json.dumps({"session_id": "s", "turns": turns}))], "manifest_id bigint, written_at bigint, manifest string").write.parquet(f"{tmp_path}/session_manifests.parquet")
+    rows = [(1, "a.log", "log", LINES("s.1", "s.2")), (2, "b.log", "log", large), (3, "x/big", "artifact", "y" * 4096), (4, "x/tiny", "artifact", "z"), (5, "unnamed", "log", LINES("s.0"))]
+    files = [(i, "s", path, 1, kind, body) for i, path, kind, body in rows]
+    spark.createDataFrame(files, "file_id bigint, session_id string, file_path string, written_at bigint, kind string, body string").write.parquet(f"{tmp_path}/session_files.parquet")
+    done = upkeep.compacted_session_files(spark, str(tmp_path))
+    data = spark.read.parquet(f"{done.path}/data").collect()
+    assert sorted(r.record_id for r in data if r.record_id) == sorted({"s.1", "s.2", *[f"s.{i}" for i in range(10, 300)]})
+    assert {r.file_path: len(r.body) for r in data if r.kind == "artifact"} == {"x/big": 4096, "x/tiny": 1}
+    assert {tuple(r) for r in upkeep.p4_found(spark, str(tmp_path)).collect()} == {("s", "a.log"), ("s", "x/tiny")}
+
+
 # ---- nested records
 
 
