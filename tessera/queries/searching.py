@@ -20,10 +20,22 @@ _WORDS = r"list_filter(list_transform(string_split_regex(lower(text), '\s+'), la
     f" WHERE len(list_intersect(list_distinct(w), {_TERMS!r})) > 0 ORDER BY score DESC, doc_id LIMIT 100"
 )
 def search_term_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 100 documents that share most of the query's terms."""
+    """The 100 documents that share most of the terms of one query; search_term_overlap_all takes many."""
     return search.term_overlap(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _TERMS, 100).select("doc_id", "score")
 
 
+def _every_twentieth(docs: DataFrame) -> DataFrame:
+    """The texts of the rows whose id is divisible by 20, as queries."""
+    return docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("text").alias("q"))
+
+
+@query()
+def search_term_overlap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 documents that share most of the terms of every twentieth document."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    return search.term_overlaps(docs, "doc_id", F.col("text"), _every_twentieth(docs), "query_id", F.col("q"), 100)
+
+
 _QUERIES = {1: "replay time and queue depth", 2: "metadata filters of the session manager", 3: "coffee grinder near me", 4: "spell filter recall recall", 5: "the hot partition"}
 
 
@@ -41,12 +53,20 @@ _QUERIES = {1: "replay time and queue depth", 2: "metadata filters of the sessio
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 20"""
 )
 def search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 20 best documents of several queries."""
+    """The 20 best documents of five queries; search_bm25_all takes many."""
     asked = spark.createDataFrame(list(_QUERIES.items()), "query_id bigint, q string")
     docs = table(spark, sf_dir, "documents").where("text is not null")
     return search.bm25(docs, "doc_id", F.col("text"), asked, "query_id", F.col("q"), 20).withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+@query()
+def search_bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents of every twentieth document, whose whole text is the query."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    hits = search.bm25(docs, "doc_id", F.col("text"), _every_twentieth(docs), "query_id", F.col("q"), 20)
+    return hits.withColumn("score", F.round("score", 6)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(
     """SELECT row_id FROM doc_store WHERE json_valid(metadata) AND json_type(metadata, '$.year') IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND CAST(json_extract_string(metadata, '$.year') AS DOUBLE) = 2024
     AND json_type(metadata, '$.open_access') = 'BOOLEAN' AND json_extract_string(metadata, '$.open_access') = 'true'"""
