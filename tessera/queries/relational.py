@@ -28,15 +28,26 @@ def agg_multi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
-@query(
-    r"""WITH t AS (SELECT lang, unnest(list_distinct(string_split_regex(lower(text), '\s+'))) AS word, n_chars FROM documents WHERE text IS NOT NULL)
-    SELECT lang, word, count(*) AS n, max(n_chars) AS longest FROM t WHERE word <> '' GROUP BY ALL HAVING count(*) >= 20"""
-)
-def agg_exploded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents by language and word: a key that is an array counts a row once per element."""
+_WORD_GROUPS = r"""WITH t AS (SELECT lang, unnest(list_distinct(string_split_regex(lower(text), '\s+'))) AS word, n_chars FROM documents WHERE text IS NOT NULL)
+    SELECT lang, word, count(*) AS n, max(n_chars) AS longest FROM t WHERE word <> '' GROUP BY ALL"""
+
+
+def _word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text is not null").select("lang", "n_chars", "doc_id", F.array_distinct(F.split(F.lower("text"), r"\s+")).alias("word"))
     (out,) = agg.aggregate(docs, [Aggregation("doc_id", "count", ["lang", "word"], alias="n"), Aggregation("n_chars", "max", ["lang", "word"], alias="longest")])
-    return out.where("word <> '' and n >= 20")
+    return out.where("word <> ''")
+
+
+@query(_WORD_GROUPS + " HAVING count(*) >= 20")
+def agg_exploded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of at least 20 documents by language; agg_exploded_keys_all has all words."""
+    return _word_groups(spark, sf_dir).where("n >= 20")
+
+
+@query(_WORD_GROUPS)
+def agg_exploded_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by language and word: a key that is an array counts a row once per element."""
+    return _word_groups(spark, sf_dir)
 
 
 @query(
