@@ -72,21 +72,23 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int, src: str = "sour
     return out
 
 
-def shortest_path(edges: DataFrame, start, target, most: int = 20, src: str = "source_id", dst: str = "target_id") -> list | None:
-    """The nodes of a shortest path, by breadth-first layers that keep one parent (the least) per node; null if there is none."""
+def shortest_path(edges: DataFrame, start, target, most: int | None = None, src: str = "source_id", dst: str = "target_id") -> list | None:
+    """The nodes of a shortest path, by breadth-first layers that keep one parent (the least) per node; null if there is none.
+
+    With ``most``, a search that has neither ended nor found the target after so many steps is an error.
+    """
     if start == target:
         return [start]
-    e = edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct()
+    e = stage(edges.select(F.col(src).alias("node"), F.col(dst).alias("next")).distinct(), "edges")
     spark = edges.sparkSession
     kind = e.schema["node"].dataType.simpleString()
     first = spark.createDataFrame([(start,)], f"node {kind}")
     layers = [first.withColumn("parent", F.lit(None).cast(kind))]
-    for _ in range(most):
+    seen = first
+    while most is None or len(layers) <= most:
         step = layers[-1].select(F.col("node").alias("p")).join(e, F.col("p") == F.col("node"))
         step = step.groupBy("next").agg(F.min("p").alias("parent")).withColumnRenamed("next", "node")
-        for layer in layers:
-            step = step.join(layer.select("node"), "node", "left_anti")
-        step = stage(step, "path")
+        step = stage(step.join(seen, "node", "left_anti"), "path")
         layers.append(step)
         if step.where(F.col("node") == target).head(1):
             path = [target]
@@ -95,7 +97,10 @@ def shortest_path(edges: DataFrame, start, target, most: int = 20, src: str = "s
             return path[::-1]
         if step.isEmpty():
             return None
-    return None
+        seen = seen.unionAll(step.select("node"))
+        if len(layers) % 16 == 0:  # so that the plan does not grow with the path
+            seen = stage(seen, "seen")
+    raise RuntimeError(f"no end after {most} steps")
 
 
 def subgraph(nodes: DataFrame, edges: DataFrame, start, depth: int = 1, edge_type: str | None = None) -> tuple[DataFrame, DataFrame]:

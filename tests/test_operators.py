@@ -204,6 +204,14 @@ def test_key_value(spark):
 # ---- graphs
 
 
+def test_long_path(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(24)] + [(24, 3)], "source_id int, target_id int").coalesce(1)
+    assert graph.shortest_path(chain, 0, 24) == list(range(25))
+    assert graph.shortest_path(chain, 20, 24, most=4) == list(range(20, 25)) and graph.shortest_path(chain, 3, 0) is None
+    with pytest.raises(RuntimeError):
+        graph.shortest_path(chain, 20, 24, most=3)
+
+
 def test_graph(spark):
     e = spark.createDataFrame([("n", a, b, "t") for a, b in [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "d"), ("x", "y")]], "namespace string, source_id string, target_id string, edge_type string")
     n = spark.createDataFrame([("n", x) for x in "abcdxy"], "namespace string, node_id string")
