@@ -210,13 +210,35 @@ def cheapest_merges(sizes: Column) -> Column:
     return _each(lambda p: cost(list(p)), T.DoubleType())(sizes)
 
 
-def permutations(df: DataFrame, array: str, out: str = "permutation", most: int = 8) -> DataFrame:
-    """A row per arrangement of an array of at most ``most`` elements."""
+def permutations(df: DataFrame, array: str, out: str = "permutation", most: int | None = None) -> DataFrame:
+    """A row per arrangement of an array, made one batch after the other.  With ``most``, an array of more elements is an error."""
+    from itertools import batched
     from itertools import permutations as arrangements
 
+    import pyarrow as pa
+
     kind = df.schema[array].dataType
-    every = _each(lambda a: [list(p) for p in arrangements(list(a))] if len(a) <= most else None, T.ArrayType(kind))
-    return df.withColumn(out, F.explode(every(F.col(array))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, values in enumerate(batch.column(array)):
+                if not values.is_valid:
+                    continue
+                size = len(values.values)
+                if most is not None and size > most:
+                    raise ValueError(f"an array of {size} elements, more than {most}")
+                row = batch.slice(i, 1)
+                for orders in batched(arrangements(range(size)), 1000):
+                    at = pa.array([j for order in orders for j in order], pa.int64())
+                    ends = pa.array(range(0, size * len(orders) + 1, size) if size else [0] * (len(orders) + 1), pa.int32())
+                    made = pa.ListArray.from_arrays(ends, values.values.take(at))
+                    rows = row.take(pa.array([0] * len(orders), pa.int64()))
+                    if out in rows.schema.names:
+                        rows = rows.drop_columns([out])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, made], [*rows.schema.names, out])
+
+    fields = [*[f for f in df.schema if f.name != out], T.StructField(out, kind)]
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def busiest(df: DataFrame, by: list[str], order: list[str], arrival: str, load: str, servers: int) -> DataFrame:

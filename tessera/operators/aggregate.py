@@ -104,12 +104,16 @@ def top_confusions(df: DataFrame, reference: str, prediction: str, k: int = 5, c
     return wrong.where("n > 0").withColumn("rank", rank).where(F.col("rank") <= k).select(reference, "rank", prediction, "n")
 
 
-def confusion_examples(df: DataFrame, reference: str, prediction: str, data: str, most: int = 100) -> DataFrame:
-    """``(key, examples)`` by ``<reference>-<prediction>``: the ``most`` least examples of each (so that no group is unbounded)."""
+def confusion_example_rows(df: DataFrame, reference: str, prediction: str, data: str) -> DataFrame:
+    """``(key, example)`` by ``<reference>-<prediction>``: a row per example, repeats included, so that no group is gathered."""
     key = F.concat_ws("-", F.col(reference).cast("string"), F.col(prediction).cast("string"))
-    value = df.select(key.alias("key"), F.explode(data).alias("x") if isinstance(df.schema[data].dataType, T.ArrayType) else F.col(data).alias("x")).distinct()
-    ranked = value.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("x"))).where(F.col("r") <= most)
-    return ranked.groupBy("key").agg(F.array_sort(F.collect_list("x")).alias("examples"))
+    return df.select(key.alias("key"), F.explode(data).alias("example") if isinstance(df.schema[data].dataType, T.ArrayType) else F.col(data).alias("example"))
+
+
+def confusion_examples(df: DataFrame, reference: str, prediction: str, data: str) -> DataFrame:
+    """``(key, examples)``: all examples of each key, in order; for large groups use :func:`confusion_example_rows`.  A null is no example."""
+    rows = confusion_example_rows(df, reference, prediction, data)
+    return rows.groupBy("key").agg(F.array_sort(F.collect_list("example")).alias("examples"))
 
 
 # ---- frequencies and merges

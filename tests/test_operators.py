@@ -44,6 +44,13 @@ def test_confusion(spark):
     assert {r.key: r.examples for r in e}["b-a"] == ["2"]
 
 
+def test_confusion_examples_are_all_there(spark):
+    df = spark.createDataFrame([("a", "b", [f"{i:03}", f"{i:03}"]) for i in range(150)] + [("b", "a", ["x"])], "t string, p string, d array<string>")
+    want = sorted([f"{i:03}" for i in range(150)] * 2)
+    assert {r.key: r.examples for r in agg.confusion_examples(df, "t", "p", "d").collect()} == {"a-b": want, "b-a": ["x"]}
+    assert rows(agg.confusion_example_rows(df, "t", "p", "d")) == [*[("a-b", x) for x in want], ("b-a", "x")]
+
+
 def test_merges(spark):
     df = spark.createDataFrame([(1, {"a": 1, "b": 2}), (2, {"a": 5})], "o int, m map<string,int>")
     assert rows(agg.sum_maps(df, "m")) == [("a", 6), ("b", 2)] and rows(agg.merge_maps(df, "m", "o")) == [("a", 5), ("b", 2)]

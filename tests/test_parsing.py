@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import parsing
@@ -49,3 +50,12 @@ def test_small_searches(spark):
     assert sorted((r.server, r.n) for r in parsing.busiest(jobs, ["g"], ["i"], "t", "w", 3).collect()) == [(0, 1), (1, 1), (2, 1)]
     text = parsing.encode_tree({"a": ("b", "c"), "b": (None, "d")}, "a")
     assert one(spark, parsing.tree_depth(C("s")), "s string", text) == 3
+
+
+def test_permutations_of_any_size(spark):
+    df = spark.createDataFrame([(1, list(range(9))), (2, [5, 5]), (3, []), (4, None), (5, [7, None])], "id int, a array<int>")
+    out = parsing.permutations(df, "a")
+    assert {r.id: r.n for r in out.groupBy("id").agg(F.countDistinct("permutation").alias("n")).collect()} == {1: 362880, 2: 1, 3: 1, 5: 2}
+    assert sorted(map(str, (r.permutation for r in out.where("id in (2, 5)").collect()))) == ["[5, 5]", "[5, 5]", "[7, None]", "[None, 7]"]
+    with pytest.raises(Exception, match="more than 8"):
+        parsing.permutations(df, "a", most=8).count()
