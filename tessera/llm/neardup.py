@@ -262,7 +262,7 @@ def _match(sig, doc, kind, cls, n, scheme: Scheme, buckets: int) -> list[tuple[i
         used, local = np.unique(np.concatenate([r[o], s[o]]), return_inverse=True)
         a, z = local[: len(o)].astype(U), local[len(o) :].astype(U)
         code = (a << U(33)) | (z << U(1)) | low[o].astype(U)
-        out.append((b, 1, pack(code, cls[used], n[used], np.minimum(weight[o], 65535).astype(np.uint16), ascending=1)))
+        out.append((b, 1, pack(code, cls[used], n[used], weight[o].astype(np.uint32), ascending=1)))
     value, weight = _summed([x[0] for x in skipped], [x[1] for x in skipped])
     for b, o in _by_part(cls[value >> 1] % U(buckets), buckets):
         out.append((b, 2, pack(cls[value[o] >> 1], (value[o] & 1).astype(np.int8), weight[o])))

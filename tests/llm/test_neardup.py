@@ -137,3 +137,12 @@ def test_packed_arrays():
     for a, b in zip(unpack(pack(x, x.astype(np.int32), np.zeros(0, np.int64), ascending=1)), (x, x.astype(np.int32), np.zeros(0, np.int64)), strict=True):
         assert a.dtype == b.dtype and (a == b).all()
     assert neardup.SIG_BITS == 43
+
+
+def test_agreement_beyond_16_bits():
+    """Two sets that agree in 70,000 signatures of one bucket."""
+    m = 70_000
+    sig, doc = np.repeat(np.arange(m, dtype=np.uint64), 2), np.tile(np.array([0, 1], np.int64), m)
+    out = neardup._match(sig, doc, np.zeros(2 * m, np.int8), np.array([11, 22], np.uint64), np.array([m, m]), Scheme(), 1)
+    (block,) = [x for _, kind, x in out if kind == 1 and len(neardup.unpack(x)[0])]
+    assert neardup.unpack(block)[3].tolist() == [m]
