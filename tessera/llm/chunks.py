@@ -27,6 +27,10 @@ class Limits:
 #: The ends of sentences (with closing quotes and brackets), lines and paragraphs, each with the blanks that follow.
 _SENTENCE = re.compile(r"[.!?…]+[\"'”’»)\]]*\s+|[。！？]+[」』）]*\s*|\s*\n\s*")
 _WORD = re.compile(r"[^\W_]+")
+#: Kana and kanji, which are written without blanks.
+_JAPANESE = "々ぁ-ゖゝ-ゟァ-ヺー-ヿㇰ-ㇿ\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaffｦ-ﾟ\U00020000-\U0003134f"
+_RUN = re.compile(f"([{_JAPANESE}]+)|[^\\W_{_JAPANESE}]+")
+_ANY_JAPANESE = re.compile(f"[{_JAPANESE}]")
 _BLANK = re.compile(r"\s+")
 
 
@@ -35,14 +39,25 @@ def boundaries(text: str) -> list[int]:
     return [m.end() for m in _SENTENCE.finditer(text) if 0 < m.end() < len(text)]
 
 
+def words(text: str) -> list[str]:
+    """The runs of letters and digits; of a run of kana and kanji its pairs of neighbouring characters."""
+    if not _ANY_JAPANESE.search(text):
+        return _WORD.findall(text)
+    out = []
+    for m in _RUN.finditer(text):
+        run = m[0]
+        out += [run[i : i + 2] for i in range(len(run) - 1)] if m[1] and len(run) > 1 else [run]
+    return out
+
+
 def depths(text: str, cuts: list[int], block: int) -> list[float]:
     """How deep the valley of lexical similarity is at each boundary.
 
-    The similarity at a boundary is the cosine of the word counts of the ``block`` sentences before and after it.  The depth
+    The similarity at a boundary is the cosine of the counts of :func:`words` of the ``block`` sentences before and after it.  The depth
     is the sum of the climbs to the nearest peaks on both sides.
     """
     edges = [0, *cuts, len(text)]
-    bags = [Counter(w for w in _WORD.findall(text[a:b].lower())) for a, b in zip(edges, edges[1:], strict=False)]
+    bags = [Counter(words(text[a:b].lower())) for a, b in zip(edges, edges[1:], strict=False)]
     left: Counter = Counter()
     right: Counter = Counter()
     for bag in bags[1 : 1 + block]:

@@ -48,6 +48,18 @@ def test_no_boundaries():
     assert pieces[0] == (0, 1200) and pieces[1][0] == 1080
 
 
+def test_japanese_is_cut_between_topics():
+    cats = [f"{w}猫は庭で魚を食べる。" for w in "昨今毎明先"]
+    market = [f"{w}株価が市場で下落した。" for w in "昨今毎明先"]
+    text = "".join(cats + market)
+    turn = len("".join(cats))
+    cuts = chunks.boundaries(text)
+    depth = chunks.depths(text, cuts, 3)
+    assert cuts[max(range(len(cuts)), key=depth.__getitem__)] == turn
+    assert cut(text, Limits(size=len(text) - 1, overlap=0, least=0.2))[0] == (0, turn)
+    assert chunks.words("カメラ2台と lens、猫") == ["カメ", "メラ", "2", "台と", "lens", "猫"]
+
+
 def test_split_texts_odd_rows(spark):
     long = "Some words here. " * 20_000
     rows = [(1, None), (2, ""), (3, "short"), (None, "short"), (3, "short"), (4, "y" * 1200), (5, "y" * 1201), (6, long)]
