@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.staging import stage
+from tessera.staging import discard, stage
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .where("u <> v")
             .distinct()
         )
-        e = stage(small, "cc")
+        before_it, e = e, stage(small, "cc")
+        discard(before_it, large)
         now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             break

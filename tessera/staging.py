@@ -10,7 +10,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: str | None = None
 
@@ -37,7 +38,17 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` to the shared folder and read it back; the result has no lineage."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; only for those whose every reader has been staged itself."""
+    for df in staged:
+        if path := getattr(df, "_staged_at", None):
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -45,9 +56,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def buckets_for(df: DataFrame, bytes_each: int) -> int:
-    """Hash buckets for work on ``df``: no fewer than shuffle partitions, and so many that each stands for at most
-    ``bytes_each`` of the input by the optimizer's estimate, since a bucket is held by one task as a whole; 32,768 at most, beyond
-    which the blocks of a bucket get too small to be worth packing."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(parallelism(df.sparkSession), min(-(-size // bytes_each), 1 << 15))
+def bucket_bits(df: DataFrame, size: Column, bytes_each: int, most_coarse: int) -> tuple[int, int]:
+    """Bits ``(coarse, fine)`` of the hash buckets for work on ``df``: no fewer buckets than shuffle partitions, and so many that each
+    stands for at most ``bytes_each`` of the input, since a bucket is held by one task as a whole.
+
+    A first exchange deals to ``2**coarse`` buckets, ``2**most_coarse`` at most, as every input split makes a block for each; a second
+    one, where ``fine`` is not 0, cuts each of them into ``2**fine``.  The input's size is the optimizer's estimate; where it has
+    none (tables that come from Python), ``size`` is summed.
+    """
+    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if total >= 1 << 60:
+        total = int(df.agg(F.sum(size)).first()[0] or 0)
+    bits = (max(parallelism(df.sparkSession), -(-total // bytes_each)) - 1).bit_length()
+    coarse = min(bits, most_coarse)
+    return coarse, min(bits - coarse, 15)
