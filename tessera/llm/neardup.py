@@ -11,17 +11,24 @@ The join is the universe-partition pigeonhole scheme:
   So a pair within ``H`` agrees with a weight of at least ``capacity - H``.
 * Allocation by cost: the work of a signature is the number of sets of fitting size that share it.  Where it is above
   ``cost_limit`` the segment is skipped (or falls from one deletion to none) for that set, and the weight is taken from its
-  capacity.  A set that has no capacity left is compared with all sets, in blocks of a bounded number of such sets.
+  capacity.  A set that has no capacity left is allocated anew over neighbouring segments merged into larger ones
+  (:meth:`Scheme.merged`), whose signatures of more shingles are rarer: one more pass, linear in the table, in which only such sets
+  look for partners.  Where that does not do either, as in a group of more than ``cost_limit`` texts that really are alike, the
+  least limit that leaves capacity is allocated to the set from its own costs, up to ``most_cost``.  What has none even then is
+  compared with all sets, in blocks of a bounded number of such sets; their number is reported and bounded loudly.
 * Pairs with enough agreement are verified on the whole sets.
 
 Sets are classes: equal sets (copies) are one class from the start, so that a text that makes up a third of all rows costs one
-row per input split.  Signatures travel as packed sorted blocks, one per split and bucket, and never as single rows.
+row per input split.  A class is known by two independent 64-bit sums; only the first travels with signatures, and sets of equal
+first and different second sum are told apart where members meet.  Signatures travel as packed sorted blocks, one per split and
+bucket, and never as single rows.  Buckets are of bounded size: where there are more than ``1 << coarse_bits``, a second
+exchange splits each coarse bucket, read as a stream, by further bits of the signature.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +38,8 @@ from pyspark.sql import functions as F
 from tessera.llm.packing64 import U, mix, pack, ranges, unpack
 from tessera.llm.shingles import BITS, shingle_sets, slices
 from tessera.operators.components import connected_components
-from tessera.staging import buckets_for, stage
+from tessera.staging import bucket_bits, discard, stage
 
-#: Estimated input per bucket of signatures: about a million entries, 50 MB when unpacked.
-BUCKET_BYTES = 1 << 20
 DOC_BITS, KIND_BITS = 18, 3
 SIG_BITS = 64 - DOC_BITS - KIND_BITS
 #: Kinds of signature entries: whole subset of one shingle, of more, subset lacking one; +3 when taken in the next smaller band.
@@ -48,15 +53,27 @@ class Scheme:
     threshold: float = 0.8
     width: int = 5
     min_words: int = 5
-    first_band: int = 32
-    band_ratio: int = 5
+    first_band: int = 16
+    band_ratio: int = 3
+    #: Mean of the shingles in a segment of the largest sets of a band, times ``slack``.
+    fill: float = 0.6
     cost_limit: int = 64
+    most_cost: int = 1 << 12
+    #: Shingles of sets without capacity that are compared with all rows in one pass, and passes beyond which it is an error.
     block_shingles: int = 1 << 22
+    most_passes: int = 256
+    #: Estimated input per bucket of signatures (about a million entries, 50 MB when unpacked), and bits of the first exchange.
+    bucket_bytes: int = 1 << 20
+    coarse_bits: int = 15
 
     @property
     def slack(self) -> float:
         return (1 - self.threshold) / (1 + self.threshold)
 
+    def merged(self) -> Scheme:
+        """The scheme for sets that this one leaves without capacity: narrow bands of segments as large as one deletion allows."""
+        return replace(self, first_band=8, band_ratio=2, fill=0.75)
+
     @property
     def ratio(self) -> int:
         return max(self.band_ratio, int(1 / self.threshold) + 1)
@@ -73,19 +90,27 @@ class Scheme:
         return np.where(band > 0, self.first_band * float(self.ratio) ** (band - 1.0), 1)
 
     def segments(self, band: np.ndarray) -> np.ndarray:
-        return np.ceil(self.lower_edge(band + 1) * self.slack / 0.6).astype(np.int64) + 1
+        return np.ceil(self.lower_edge(band + 1) * self.slack / self.fill).astype(np.int64) + 1
 
     def least_size(self, n: np.ndarray) -> np.ndarray:
         """The size a partner of a set of ``n`` must have at least."""
         return np.ceil(self.threshold * n - 1e-9).astype(np.int64)
 
 
-def class_ids(owner: np.ndarray, token: np.ndarray, salt: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """A 64-bit id for each set within its group."""
+def class_ids(owner: np.ndarray, token: np.ndarray, salt: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit id for each set within its group, and an independent one to check it by."""
     start = np.searchsorted(owner, np.arange(len(n)))
     total = np.zeros(len(token) + 1, U)
-    np.cumsum(mix(token + U(17)), out=total[1:])
-    return mix(total[start + n] - total[start] + mix(salt) + n.astype(U))
+    out = []
+    for seed in (U(17), U(0x5851F42D4C957F2D)):
+        np.cumsum(mix(token + seed), out=total[1:])
+        out.append(mix(total[start + n] - total[start] + mix(salt + seed) + n.astype(U)))
+    return out[0], out[1]
+
+
+def sub_class(cls: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """The id of a set whose class id another set took."""
+    return mix(cls ^ mix(check))
 
 
 def signatures(
@@ -112,11 +137,14 @@ def signatures(
     return np.concatenate([who, owner[more]]), sig, kind, capacity
 
 
-def _index_rows(scheme: Scheme, buckets: int):
-    """Rows ``(id, salt, text)`` to packed blocks of signatures and of members."""
+def _index_rows(scheme: Scheme, bits: int):
+    """Rows ``(id, salt, text, most)`` to packed blocks of signatures (kind 1) and of members (kind 0), in ``1 << bits`` buckets.
+
+    ``most`` is the cost up to which a set looks for partners; below 0 it is only found by others."""
+    low_mask = U((1 << (DOC_BITS + KIND_BITS)) - 1)
 
     def flush(docs: list, entries: list) -> pa.RecordBatch:
-        ids, cls, n, own, low = (np.concatenate(x) for x in zip(*docs, strict=True))
+        ids, cls, check, n, own, low, most = (np.concatenate(x) for x in zip(*docs, strict=True))
         parts, kinds, values = [], [], []
 
         def add(part: int, kind: int, value: bytes) -> None:
@@ -124,23 +152,18 @@ def _index_rows(scheme: Scheme, buckets: int):
             kinds.append(kind)
             values.append(value)
 
-        to = (cls % U(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        cut = np.searchsorted(to[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cut)):
-            o = order[cut[b] : cut[b + 1]]
-            add(int(b), 0, pack(ids[o], cls[o], n[o], own[o], low[o]))
-        code = np.sort(np.concatenate(entries))
-        edge = [(b << SIG_BITS) // buckets << (DOC_BITS + KIND_BITS) for b in range(buckets)]
-        cut = np.append(np.searchsorted(code, np.array(edge, U)), len(code))
+        for b, o in _by_part(_bucket(cls, bits), 1 << bits):
+            add(b, 0, pack(ids[o], cls[o], check[o], n[o], own[o], low[o]))
+        sig, place = (np.concatenate(x) for x in zip(*entries, strict=True))
+        code = (sig & ~low_mask) | place
         mask = U(((1 << DOC_BITS) - 1) << KIND_BITS)
-        for b in np.flatnonzero(np.diff(cut)):
-            c = code[cut[b] : cut[b + 1]]
+        for b, o in _by_part(_bucket(sig, bits), 1 << bits):
+            c = code[o]
             used, local = np.unique((c & mask) >> U(KIND_BITS), return_inverse=True)
             c = np.sort((c & ~mask) | (local.astype(U) << U(KIND_BITS)))
             used = used.astype(np.int64)
-            add(int(b), 1, pack(c, cls[used], n[used].astype(np.uint32), ascending=1))
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], ["part", "kind", "block"])
+            add(b, 1, pack(c, cls[used], n[used].astype(np.uint32), most[used], ascending=1))
+        return _blocks(parts, kinds, values)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs: list = []
@@ -150,6 +173,7 @@ def _index_rows(scheme: Scheme, buckets: int):
         for batch in batches:
             all_ids = batch.column(0).to_numpy(zero_copy_only=False)
             all_salts = batch.column(1).to_numpy(zero_copy_only=False).view(U)
+            all_most = batch.column(3).to_numpy(zero_copy_only=False)
             texts = batch.column(2).to_pylist()
             for lo, hi in slices([len(t) for t in texts]):
                 owner, token = shingle_sets(texts[lo:hi], scheme.width, scheme.min_words)
@@ -160,7 +184,7 @@ def _index_rows(scheme: Scheme, buckets: int):
                 owner = np.searchsorted(part, owner)
                 n, ids, salt = n[part], all_ids[lo:hi][part], mix(all_salts[lo:hi][part])
                 band, base = scheme.band(n), sum(len(d[0]) for d in docs)
-                cls = class_ids(owner, token, salt, n)
+                cls, check = class_ids(owner, token, salt, n)
                 first = np.zeros(len(n), bool)
                 for i, c in enumerate(cls.tolist()):
                     if c not in seen:
@@ -178,9 +202,9 @@ def _index_rows(scheme: Scheme, buckets: int):
                     keep = first[w2]
                     found.append((w2[keep], s2[keep], k2[keep] + U(LOWER)))
                 for w, s, k in found:
-                    entries.append((s >> U(64 - SIG_BITS) << U(DOC_BITS + KIND_BITS)) | ((w + base).astype(U) << U(KIND_BITS)) | k)
+                    entries.append((s, ((w + base).astype(U) << U(KIND_BITS)) | k))
                     held += len(w)
-                docs.append((ids.astype(np.int64), cls, n, own, low))
+                docs.append((ids.astype(np.int64), cls, check, n, own, low, all_most[lo:hi][part]))
                 if held > 3_000_000 or base + len(n) > (1 << DOC_BITS) - 4096:
                     yield flush(docs, entries)
                     docs, entries, seen, held = [], [], {}, 0
@@ -190,33 +214,92 @@ def _index_rows(scheme: Scheme, buckets: int):
     return run
 
 
+def _bucket(value: np.ndarray, bits: int) -> np.ndarray:
+    return (value & U((1 << bits) - 1)).astype(np.uint16 if bits <= 16 else np.int64)
+
+
+def _blocks(parts: list, kinds: list, values: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(values, pa.binary())], ["part", "kind", "block"])
+
+
+def _finer(bits: int, fine: int, cut):
+    """Blocks of coarse buckets, read as a stream, to blocks of ``1 << fine`` buckets each; ``cut(kind, arrays, fine, bits)`` gives
+    the arrays of each of them.  Small blocks of a bucket are put together by what reads them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts, kinds, values = [], [], []
+            for part, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for sub, value in cut(kind, block, fine, bits):
+                    parts.append((part << fine) | sub)
+                    kinds.append(kind)
+                    values.append(value)
+            yield _blocks(parts, kinds, values)
+
+    return run
+
+
+def _cut_index(kind: int, block: bytes, fine: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    arrays = unpack(block)
+    if kind == 0:  # members only pass through
+        yield int(arrays[1][0] >> U(bits)) & ((1 << fine) - 1), block
+        return
+    code, cls, n, most = arrays
+    mask = U(((1 << DOC_BITS) - 1) << KIND_BITS)
+    for sub, o in _by_part((code >> U(64 - fine)).astype(np.int64), 1 << fine):
+        used, local = np.unique((code[o] & mask) >> U(KIND_BITS), return_inverse=True)
+        used = used.astype(np.int64)
+        yield sub, pack(np.sort((code[o] & ~mask) | (local.astype(U) << U(KIND_BITS))), cls[used], n[used], most[used], ascending=1)
+
+
+def _cut_matched(kind: int, block: bytes, fine: int, bits: int) -> Iterator[tuple[int, bytes]]:
+    arrays = unpack(block)
+    cls = {0: lambda: arrays[1], 1: lambda: arrays[1][(arrays[0] >> U(33)).astype(np.int64)], 2: lambda: arrays[0]}[kind]()
+    for sub, o in _by_part((cls >> U(bits)) & U((1 << fine) - 1), 1 << fine):
+        if kind == 1:
+            yield sub, pack(arrays[0][o], arrays[1], arrays[2], arrays[3][o], ascending=1)
+        else:
+            yield sub, pack(*[a[o] for a in arrays])
+
+
+def _exchanged(blocks: DataFrame, bits: tuple[int, int], cut):
+    coarse, fine = bits
+    return (blocks.repartition("part").mapInArrow(_finer(coarse, fine, cut), BLOCKS) if fine else blocks).groupBy("part")
+
+
 BLOCKS = "part int, kind int, block binary"
 
 
-def _match_bucket(scheme: Scheme, buckets: int):
+def _match_bucket(scheme: Scheme, bits: tuple[int, int]):
     """The blocks of a bucket to packed pairs that agree and to the capacity that allocation took away."""
 
-    def run(table: pa.Table) -> pa.Table:
-        kinds, blocks = table["kind"].to_numpy(), table["block"].to_pylist()
-        out = [(int(table["part"][0].as_py()), 0, blocks[i]) for i in np.flatnonzero(kinds == 0)]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, tables, base = [], [], 0
-        for i in np.flatnonzero(kinds == 1):
-            code, cls, n = unpack(blocks[i])
-            doc = (code >> U(KIND_BITS)) & U((1 << DOC_BITS) - 1)
-            codes.append((code >> U(DOC_BITS + KIND_BITS), doc.astype(np.int64) + base, (code & U(7)).astype(np.int8)))
-            tables.append((cls, n))
-            base += len(cls)
+        for batch in batches:
+            for part, kind, block in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if kind == 0:
+                    yield _blocks([part >> bits[1]], [0], [block])
+                    continue
+                code, cls, n, most = unpack(block)
+                doc = (code >> U(KIND_BITS)) & U((1 << DOC_BITS) - 1)
+                codes.append((code >> U(DOC_BITS + KIND_BITS), doc.astype(np.int64) + base, (code & U(7)).astype(np.int8)))
+                tables.append((cls, n, most))
+                base += len(cls)
         if codes:
             sig, doc, kind = (np.concatenate(x) for x in zip(*codes, strict=True))
-            cls, n = (np.concatenate(x) for x in zip(*tables, strict=True))
-            out += _match(sig, doc, kind, cls, n.astype(np.int64), scheme, buckets)
-        parts, kinds, values = zip(*out, strict=True) if out else ((), (), ())
-        return pa.table({"part": pa.array(parts, pa.int32()), "kind": pa.array(kinds, pa.int32()), "block": pa.array(values, pa.binary())})
+            cls, n, most = (np.concatenate(x) for x in zip(*tables, strict=True))
+            del codes, tables
+            for part, kind, block in _match(sig, doc, kind, cls, n.astype(np.int64), most, scheme, bits[0]):
+                yield _blocks([part], [kind], [block])
 
     return run
 
 
-def _match(sig, doc, kind, cls, n, scheme: Scheme, buckets: int) -> list[tuple[int, int, bytes]]:
+#: Pairs that a task holds before it packs them.
+PAIRS_HELD = 1 << 22
+
+
+def _match(sig, doc, kind, cls, n, most, scheme: Scheme, bits: int) -> Iterator[tuple[int, int, bytes]]:
     order = np.argsort(sig)
     sig = sig[order]
     same = sig[1:] == sig[:-1]
@@ -229,7 +312,7 @@ def _match(sig, doc, kind, cls, n, scheme: Scheme, buckets: int) -> list[tuple[i
     fresh = np.concatenate(([True], (c[1:] != c[:-1]) | (m[1:] != m[:-1])))[: len(c)]
     rank = np.empty(len(c), np.int64)
     rank[rank_order] = np.cumsum(fresh) - 1
-    cls, n = c[fresh], m[fresh]
+    cls, n, most = c[fresh], m[fresh], np.maximum.reduceat(most[rank_order], np.flatnonzero(fresh))
     rank = rank[doc]
     run = np.cumsum(np.concatenate(([True], sig[1:] != sig[:-1]))[: len(sig)]) - 1
     # equal sets from several splits have the same entries
@@ -238,35 +321,46 @@ def _match(sig, doc, kind, cls, n, scheme: Scheme, buckets: int) -> list[tuple[i
     key = (run << 32) | rank
     least = np.searchsorted(n, scheme.least_size(n))
     whole, lacking = key[kind < LACKING], key[kind == LACKING]
+    looks = most[rank] >= 0
 
     def span(entries: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         r, k = run[entries], rank[entries]
         return np.searchsorted(index, (r << 32) | least[k]), np.searchsorted(index, (r << 32) | k)
 
-    pairs, skipped = [], []
+    def packed() -> Iterator[tuple[int, int, bytes]]:
+        value, weight = _summed([x[0] for x in pairs], [x[1] for x in pairs])
+        r, s, low = value >> 32, (value & 0xFFFFFFFF) >> 1, value & 1
+        for b, o in _by_part(_bucket(cls[r], bits), 1 << bits):
+            used, local = np.unique(np.concatenate([r[o], s[o]]), return_inverse=True)
+            a, z = local[: len(o)].astype(U), local[len(o) :].astype(U)
+            yield b, 1, pack((a << U(33)) | (z << U(1)) | low[o].astype(U), cls[used], n[used], weight[o].astype(np.uint32), ascending=1)
+
+    pairs, skipped, held = [], [], 0
     for lower in (0, LOWER):
-        one, two, less = (np.flatnonzero(kind == lower + x) for x in (WHOLE1, WHOLE2, LACKING))
+        one, two, less = (np.flatnonzero((kind == lower + x) & looks) for x in (WHOLE1, WHOLE2, LACKING))
         for entries, indexes, weight in ((one, [whole], 1), (two, [whole, lacking], 2), (less, [whole], 2)):
             spans = [(index, *span(entries, index)) for index in indexes]
             cost = sum(hi - lo for _, lo, hi in spans)
-            dear = cost > scheme.cost_limit
+            dear = cost > most[rank[entries]]
             loss = 1 if entries is less else weight
-            skipped.append((rank[entries[dear]] * 2 + (lower > 0), np.full(int(dear.sum()), loss)))
+            level = np.ceil(np.log2(cost[dear] + 1)).astype(np.int64)  # the power of two that would not be below the cost
+            skipped.append(((rank[entries[dear]] << 7) | (level << 1) | (lower > 0), np.full(len(level), loss)))
             for index, lo, hi in spans:
-                owner, at = ranges(lo, np.where(dear, lo, hi))
-                pairs.append(((rank[entries[owner]] << 32) | ((index[at] & 0xFFFFFFFF) << 1) | (lower > 0), np.full(len(at), weight, np.int64)))
-    out: list[tuple[int, int, bytes]] = []
-    value, weight = _summed([x[0] for x in pairs], [x[1] for x in pairs])
-    r, s, low = value >> 32, (value & 0xFFFFFFFF) >> 1, value & 1
-    for b, o in _by_part(cls[r] % U(buckets), buckets):
-        used, local = np.unique(np.concatenate([r[o], s[o]]), return_inverse=True)
-        a, z = local[: len(o)].astype(U), local[len(o) :].astype(U)
-        code = (a << U(33)) | (z << U(1)) | low[o].astype(U)
-        out.append((b, 1, pack(code, cls[used], n[used], weight[o].astype(np.uint32), ascending=1)))
+                take = np.where(dear, 0, hi - lo)
+                total = np.cumsum(take)
+                cuts = np.searchsorted(total, np.arange(PAIRS_HELD, total[-1] if len(total) else 0, PAIRS_HELD), "right")
+                for x in np.split(np.arange(len(entries)), cuts):
+                    owner, at = ranges(lo[x], lo[x] + take[x])
+                    pairs.append(((rank[entries[x[owner]]] << 32) | ((index[at] & 0xFFFFFFFF) << 1) | (lower > 0), np.full(len(at), weight, np.int64)))
+                    held += len(at)
+                    if held >= PAIRS_HELD:
+                        yield from packed()
+                        pairs, held = [], 0
+    if pairs:
+        yield from packed()
     value, weight = _summed([x[0] for x in skipped], [x[1] for x in skipped])
-    for b, o in _by_part(cls[value >> 1] % U(buckets), buckets):
-        out.append((b, 2, pack(cls[value[o] >> 1], (value[o] & 1).astype(np.int8), weight[o])))
-    return out
+    for b, o in _by_part(_bucket(cls[value >> 7], bits), 1 << bits):
+        yield b, 2, pack(cls[value[o] >> 7], (value[o] & 127).astype(np.int8), weight[o])
 
 
 def _summed(values: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -277,64 +371,96 @@ def _summed(values: list[np.ndarray], weights: list[np.ndarray]) -> tuple[np.nda
     return value[start], np.add.reduceat(weight, start) if len(start) else weight
 
 
+def _pairs_summed(found: list) -> tuple[np.ndarray, ...]:
+    """``(class, partner, role, partner's size, weight)``, each pair and role once."""
+    a, c, role, m, w = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((role, c, a))
+    a, c, role, m, w = a[order], c[order], role[order], m[order], w[order]
+    start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (role[1:] != role[:-1])))[: len(a)])
+    return a[start], c[start], role[start], m[start], np.add.reduceat(w, start) if len(start) else w
+
+
 def _by_part(part: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    part = part.astype(np.int64)
+    """The places of each part's elements, by part."""
     order = np.argsort(part, kind="stable")
-    cut = np.searchsorted(part[order], np.arange(buckets + 1))
-    for b in np.flatnonzero(np.diff(cut)):
+    count = np.bincount(part.astype(np.int64), minlength=buckets)
+    cut = np.append(0, np.cumsum(count))
+    for b in np.flatnonzero(count):
         yield int(b), order[cut[b] : cut[b + 1]]
 
 
-def _decide(scheme: Scheme):
-    """Members, pairs with enough agreement (kind 1) and sets whose capacity was used up (kind 2), by class."""
+def _decide(scheme: Scheme, with_members: bool):
+    """``(kind, a, b, c)``: members with their class (kind 0), pairs of classes with enough agreement (1), classes without capacity, their
+    size and the least level (cost up to ``2**level``) that would leave some, or -1 (2), and sets whose class id another set
+    took: class id, second sum, own id (3).  The latter have no capacity."""
 
     def run(table: pa.Table) -> pa.Table:
         kinds, blocks = table["kind"].to_numpy(), table["block"].to_pylist()
-        take = {k: [unpack(blocks[i]) for i in np.flatnonzero(kinds == k)] for k in (0, 1, 2)}
-        ids, member, size, own, low = (np.concatenate(x) for x in zip(*take[0], strict=True))
-        cls, first = np.unique(member, return_index=True)
+        take = {k: (unpack(blocks[i]) for i in np.flatnonzero(kinds == k)) for k in (0, 1, 2)}
+        ids, member, check, size, own, low = (np.concatenate(x) for x in zip(*take[0], strict=True))
+        cls, first, of = np.unique(member, return_index=True, return_inverse=True)
+        taken = check != check[first][of]
         n = size[first]
-        capacity = np.stack([own[first], low[first]], 1)
+        full = np.stack([own[first], low[first]], 1)
+        capacity, dear = full.copy(), []
         for c, role, loss in take[2]:
-            np.subtract.at(capacity, (np.searchsorted(cls, c), role), loss)
+            at = np.searchsorted(cls, c)
+            np.subtract.at(capacity, (at, role & 1), loss)
+            dear.append((at, role & 1, role >> 1, loss))
         band = scheme.band(n)
         edge = scheme.lower_edge(band)
         down = (band > 0) & (scheme.least_size(n) < edge)
-        bad = (capacity[:, 0] <= scheme.difference(n, n)) | (down & (capacity[:, 1] <= scheme.difference(n, edge - 1)))
+        need = np.stack([scheme.difference(n, n), np.where(down, scheme.difference(n, edge - 1), -1)], 1)
+        bad = ((capacity <= need) & (need >= 0)).any(1)
+        # what is lost at each level, for sets without capacity
+        level = np.full(len(cls), -1)
+        sick = np.flatnonzero(bad)
+        lost = np.zeros((len(sick), 2, 64), np.int64)
+        for at, role, step, loss in dear:
+            hit = bad[at]
+            np.add.at(lost, (np.searchsorted(sick, at[hit]), role[hit], step[hit]), loss[hit])
+        above = lost.sum(2, keepdims=True) - np.cumsum(lost, 2)
+        enough = ((full[sick][:, :, None] - above > need[sick][:, :, None]) | (need[sick] < 0)[:, :, None]).all(1)
+        level[sick] = np.where(enough.any(1), enough.argmax(1), -1)
+        bad[of[taken]] = True
+        level[of[taken]] = -1
         r, s = np.zeros(0, U), np.zeros(0, U)
-        if take[1]:
-            ranks, partners, roles, sizes, weights = [], [], [], [], []
-            for code, c, m, w in take[1]:
-                a, z = (code >> U(33)).astype(np.int64), ((code >> U(1)) & U(0xFFFFFFFF)).astype(np.int64)
-                ranks.append(np.searchsorted(cls, c[a]))
-                partners.append(c[z])
-                sizes.append(m[z])
-                roles.append((code & U(1)).astype(np.int64))
-                weights.append(w.astype(np.int64))
-            a, c, role, m, w = (np.concatenate(x) for x in (ranks, partners, roles, sizes, weights))
-            order = np.lexsort((role, c, a))
-            a, c, role, m, w = a[order], c[order], role[order], m[order], w[order]
-            start = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (c[1:] != c[:-1]) | (role[1:] != role[:-1]))))
-            w = np.add.reduceat(w, start)
-            a, c, role, m = a[start], c[start], role[start], m[start]
+        found: list = []
+        held = 0
+        for code, c, m, w in take[1]:
+            a, z = (code >> U(33)).astype(np.int64), ((code >> U(1)) & U(0xFFFFFFFF)).astype(np.int64)
+            found.append((np.searchsorted(cls, c[a]), c[z], (code & U(1)).astype(np.int64), m[z], w.astype(np.int64)))
+            held += len(a)
+            if held > 2 * PAIRS_HELD:
+                found = [_pairs_summed(found)]
+                held = len(found[0][0])
+        if found:
+            a, c, role, m, w = _pairs_summed(found)
             enough = (w >= capacity[a, role] - scheme.difference(n[a], m)) & ~bad[a]
             r, s = cls[a[enough]], c[enough]
-        kind = np.concatenate([np.zeros(len(ids)), np.ones(len(r)), np.full(int(bad.sum()), 2)]).astype(np.int8)
-        left = np.concatenate([ids, r.view(np.int64), cls[bad].view(np.int64)])
-        right = np.concatenate([member.view(np.int64), s.view(np.int64), n[bad]])
-        return pa.table({"kind": kind, "a": left, "b": right})
+        own_id = np.where(taken, sub_class(member, check), member)
+        lost, at = np.unique(own_id[taken], return_index=True)
+        at = np.flatnonzero(taken)[at]
+        rows = [
+            (0, ids, own_id, ids) if with_members else (0, ids[:0], ids[:0], ids[:0]),
+            (1, r, s, r),
+            (2, np.append(cls[bad], lost), np.append(n[bad], size[at]), np.append(level[bad], np.full(len(lost), -1))),
+            (3, member[at], check[at], lost),
+        ]
+        kind = np.concatenate([np.full(len(a), k, np.int8) for k, a, _, _ in rows])
+        a, b, c = (np.concatenate([x[k].view(np.int64) for x in rows]) for k in (1, 2, 3))
+        return pa.table({"kind": kind, "a": a, "b": b, "c": pa.array(c, mask=kind < 2)})
 
     return run
 
 
 def _sets_of(scheme: Scheme, wanted: np.ndarray | None):
-    """``(id, size, sorted shingles)`` of the rows whose id is in the bit map ``wanted``."""
+    """``(id, sorted shingles)`` of the rows whose id is in the filter ``wanted``, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            at = ids % (len(wanted) * 64)
-            hit = np.flatnonzero((wanted[at >> 6] >> (at & 63).astype(U)) & U(1))
+            hit = np.arange(len(ids)) if wanted is None else np.flatnonzero(_in_filter(wanted, ids))
             texts = batch.column(2).take(pa.array(hit)).to_pylist()
             for lo, hi in slices([len(t) for t in texts]):
                 owner, token = shingle_sets(texts[lo:hi], scheme.width, scheme.min_words)
@@ -358,9 +484,10 @@ def _verified(threshold: float):
     return run
 
 
-def _against_all(scheme: Scheme, query: tuple[np.ndarray, np.ndarray, np.ndarray]):
-    """Links of all rows with a bounded block of query sets: ``(class, salted shingle, owner)``, sorted by shingle."""
-    q_cls, q_key, q_owner = query
+def _against_all(scheme: Scheme, query: tuple[np.ndarray, ...]):
+    """``(src, chk, dst)``: links of all rows with a bounded block of query sets: ``(id, class sums, salted shingle, owner)``, sorted by
+    shingle.  ``src`` and ``chk`` are the two sums of a row's set, ``dst`` is a query's class."""
+    q_id, q_cls, q_check, q_key, q_owner = query
     q_size = np.bincount(q_owner, minlength=len(q_cls))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,42 +498,72 @@ def _against_all(scheme: Scheme, query: tuple[np.ndarray, np.ndarray, np.ndarray
                 owner, token = shingle_sets(texts[lo:hi], scheme.width, scheme.min_words)
                 n = np.bincount(owner, minlength=hi - lo)
                 salt = mix(salts[lo:hi])
-                cls = class_ids(owner, token, salt, n)
+                cls, check = class_ids(owner, token, salt, n)
                 key = mix(token + salt[owner])
                 of, at = ranges(np.searchsorted(q_key, key), np.searchsorted(q_key, key, "right"))
                 code, both = np.unique(owner[of] * len(q_cls) + q_owner[at], return_counts=True)
                 mine, other = code // len(q_cls), code % len(q_cls)
-                good = (both / (n[mine] + q_size[other] - both) >= scheme.threshold) & (cls[mine] != q_cls[other])
-                yield pa.RecordBatch.from_arrays([pa.array(cls[mine[good]].view(np.int64)), pa.array(q_cls[other[good]].view(np.int64))], ["src", "dst"])
+                itself = (cls[mine] == q_cls[other]) & (check[mine] == q_check[other])
+                good = (both / (n[mine] + q_size[other] - both) >= scheme.threshold) & ~itself
+                columns = cls[mine[good]], check[mine[good]], q_id[other[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], ["src", "chk", "dst"])
 
     return run
 
 
-#: Bits of the filter that says which rows' sets are needed for verification: a fixed 1 MiB, however many rows there are.
-FILTER_BITS = 1 << 23
+#: The filter that says which rows' sets are needed takes 10 bits an id and this many at most (16 MiB); beyond, ids are joined.
+FILTER_BITS = 1 << 27
+_WORDS = 1 << 10
+
 
+def _in_filter(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    at = mix(ids.view(U)) % U(len(words) * 64)
+    return ((words[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).astype(bool)
 
-def _bit_map(ids: DataFrame) -> np.ndarray:
-    """A filter of fixed size over an id column: at most ``FILTER_BITS / 64`` words reach the driver."""
-    words = (
-        ids.select(F.pmod("id", F.lit(FILTER_BITS)).alias("bit"))
-        .select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("bits"))
-        .groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
-    )
-    out = np.zeros(FILTER_BITS // 64, U)
-    for word, bits in words:
-        out[word] = U(bits & 0xFFFFFFFFFFFFFFFF)
-    return out
+
+def _filter(ids: DataFrame, bits: int) -> np.ndarray:
+    """The filter over a column of ids.  Tasks send blocks of words, which are put together by block: the driver gets each once."""
+    blocks = -(-bits // (64 * _WORDS))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = np.zeros(blocks * _WORDS, U)
+        for batch in batches:
+            at = mix(batch.column(0).to_numpy(zero_copy_only=False).view(U)) % U(len(words) * 64)
+            np.bitwise_or.at(words, (at >> U(6)).astype(np.int64), U(1) << (at & U(63)))
+        used = np.flatnonzero(words.reshape(blocks, _WORDS).any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([words[b * _WORDS : (b + 1) * _WORDS].tobytes() for b in used], pa.binary())], ["block", "words"])
+
+    def combine(table: pa.Table) -> pa.Table:
+        words = np.bitwise_or.reduce([np.frombuffer(w, U) for w in table["words"].to_pylist()])
+        return pa.table({"block": table["block"].slice(0, 1), "words": pa.array([words.tobytes()], pa.binary())})
+
+    out = np.zeros((blocks, _WORDS), U)
+    for block, words in ids.mapInArrow(build, "block int, words binary").groupBy("block").applyInArrow(combine, "block int, words binary").collect():
+        out[block] = np.frombuffer(words, U)
+    return out.reshape(-1)
+
+
+def _sets(rows: DataFrame, ids: DataFrame, scheme: Scheme) -> DataFrame:
+    """``(id, shingles)`` of the rows whose ``id`` is among ``ids`` (and of few others): no other text is cut into shingles."""
+    bits = 10 * ids.count()
+    if bits <= FILTER_BITS:
+        wanted = _filter(ids, max(bits, 1))
+    else:
+        rows, wanted = rows.join(ids.distinct(), "id", "left_semi"), None
+    return rows.select("id", "salt", "text").mapInArrow(_sets_of(scheme, wanted), "id bigint, shingles binary")
 
 
 @dataclass(frozen=True)
 class NearDuplicates:
     """``members``: ``(id, class)``, one row per text that takes part; ``links``: ``(src, dst)`` between classes, each once;
-    ``components``: ``(class, component)`` of the classes that have links."""
+    ``components``: ``(class, component)`` of the classes that have links; ``merged`` and ``compared``: how many classes were
+    allocated over merged segments, and how many of them were compared with all sets."""
 
     members: DataFrame
     links: DataFrame
     components: DataFrame
+    merged: int = 0
+    compared: int = 0
 
     def grouped(self) -> DataFrame:
         """``(id, class, component, links)``: one row per text that takes part; ``links`` counts linked classes."""
@@ -446,51 +603,82 @@ def near_duplicates(
     scheme = scheme or Scheme()
     group = F.lit(0).cast("bigint") if group_col is None else F.when(F.col(group_col).isNull(), F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.col(group_col)))
     rows = df.select(F.col(id_col).cast("bigint").alias("id"), group.alias("salt"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    buckets = buckets_for(rows, BUCKET_BYTES)
-    blocks = rows.mapInArrow(_index_rows(scheme, buckets), BLOCKS)
-    matched = blocks.groupBy("part").applyInArrow(_match_bucket(scheme, buckets), BLOCKS)
-    decided = stage(matched.groupBy("part").applyInArrow(_decide(scheme), "kind tinyint, a bigint, b bigint"), "nd-decided")
+    bits = bucket_bits(rows, F.octet_length("text"), scheme.bucket_bytes, scheme.coarse_bits)
+    decided = _allocated(rows, scheme, bits, None)
     members = decided.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("class"))
+    chosen = decided.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    bad, taken = (decided.where(f"kind = {k}") for k in (2, 3))
+    bad = bad.select(F.col("a").alias("class"), F.col("b").alias("size"), F.col("c").alias("level"))
+    passes: list[DataFrame] = []
+    n_merged = n_left = bad.count()
+    merged = scheme.merged()
+    # over merged segments: first within the common limit, then each set within the limit that its costs ask for
+    own_cost = F.when(F.col("level") >= 0, F.pow(F.lit(2.0), F.least("level", F.lit(30))).cast("int"))
+    for most in (F.lit(scheme.cost_limit), own_cost):
+        if not n_left:
+            break
+        asking = stage(bad.withColumn("most", most).where(F.col("most") <= max(scheme.most_cost, scheme.cost_limit)), "nd-asking")
+        of = stage(members.join(asking, "class").groupBy("id").agg(F.max("most").alias("most")), "nd-asking")
+        again = _allocated(rows, merged, bits, of)
+        # a class is the greater end of the pairs it was allocated for
+        chosen = chosen.unionAll(again.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")).join(asking.select(F.col("class").alias("src")), "src", "left_semi"))
+        left = again.where("kind = 2").select(F.col("a").alias("class"), F.col("c").alias("level"))
+        silent = bad.join(asking, "class", "left_anti").select("class", "size", "level")
+        bad = stage(asking.select("class", "size").join(left, "class").select("class", "size", "level").unionAll(silent), "nd-left")
+        passes += [asking, of, again, bad]
+        n_left = bad.count()
 
     deputy = members.groupBy("class").agg(F.min("id").alias("id"))
-    chosen = decided.where("kind = 1").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct()
+    chosen = chosen.where("src <> dst").distinct()
     chosen = stage(
         chosen.join(deputy.select(F.col("class").alias("src"), F.col("id").alias("i")), "src").join(deputy.select(F.col("class").alias("dst"), F.col("id").alias("j")), "dst").select("src", "dst", "i", "j"),
         "nd-pairs",
     )
-    wanted = _bit_map(chosen.select(F.col("i").alias("id")).unionAll(chosen.select("j")))
-    sets = rows.mapInArrow(_sets_of(scheme, wanted), "id bigint, shingles binary")
+    sets = _sets(rows, chosen.select(F.col("i").alias("id")).unionAll(chosen.select("j")).distinct(), scheme)
     one = sets.select(F.col("id").alias("i"), F.col("shingles").alias("x"))
     two = sets.select(F.col("id").alias("j"), F.col("shingles").alias("y"))
     links = chosen.join(one, "i").join(two, "j").select("src", "dst", "x", "y").mapInArrow(_verified(scheme.threshold), "src bigint, dst bigint")
-
-    links = stage(links.unionAll(_rest(rows, decided, deputy, scheme)).select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "nd-links")
+    if n_left:
+        links = links.unionAll(_rest(rows, bad, taken, deputy, scheme))
+    links = stage(links.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "nd-links")
+    discard(chosen, *passes)
     components = stage(connected_components(links), "nd-components").select(F.col("node").alias("class"), "component")
-    return NearDuplicates(members, links, components)
+    return NearDuplicates(members, links, components, n_merged, n_left)
+
 
+def _allocated(rows: DataFrame, scheme: Scheme, bits: tuple[int, int], asked: DataFrame | None) -> DataFrame:
+    """What :func:`_decide` says under a scheme, staged: of all rows, or, without members, of those ``asked`` ``(id, most)`` for partners."""
+    if asked is None:
+        looking = rows.withColumn("most", F.lit(scheme.cost_limit))
+    else:
+        looking = rows.join(asked, "id", "left").select("id", "salt", "text", F.coalesce("most", F.lit(-1)).alias("most"))
+    index = looking.mapInArrow(_index_rows(scheme, bits[0]), BLOCKS)
+    matched = _exchanged(index, bits, _cut_index).applyInArrow(_match_bucket(scheme, bits), BLOCKS)
+    return stage(_exchanged(matched, bits, _cut_matched).applyInArrow(_decide(scheme, asked is None), "kind tinyint, a bigint, b bigint, c bigint"), "nd-decided")
 
-def _rest(rows: DataFrame, decided: DataFrame, deputy: DataFrame, scheme: Scheme) -> DataFrame:
+
+def _rest(rows: DataFrame, bad: DataFrame, taken: DataFrame, deputy: DataFrame, scheme: Scheme) -> DataFrame:
     """The links of sets without capacity, each block of them against all rows."""
-    spark = rows.sparkSession
-    empty = spark.createDataFrame([], "src bigint, dst bigint")
-    bad = decided.where("kind = 2").select(F.col("a").alias("class"), F.col("b").alias("size")).distinct().join(deputy, "class")
-    if bad.isEmpty():
-        return empty
-    bad = stage(bad, "nd-rest")
-    blocks = 1 + int(bad.agg(F.sum("size")).first()[0]) // scheme.block_shingles
-    out = empty
+    bad = stage(bad.select("class", "size").distinct().join(deputy, "class"), "nd-rest")
+    blocks = 1 + int(bad.agg(F.sum("size")).first()[0] or 0) // scheme.block_shingles
+    if blocks > scheme.most_passes:
+        raise RuntimeError(f"{bad.count()} sets share each of their signatures with more than {scheme.cost_limit} others; comparing them with all rows takes {blocks} passes: raise cost_limit or most_passes")
+    out = rows.sparkSession.createDataFrame([], "src bigint, chk bigint, dst bigint")
     for block in range(blocks):
         part = bad.where(F.pmod(F.xxhash64("class"), F.lit(blocks)) == block)
-        sets = rows.mapInArrow(_sets_of(scheme, _bit_map(part.select("id"))), "id bigint, shingles binary")
+        sets = _sets(rows, part.select("id"), scheme)
         # a block holds about block_shingles hashes, whatever the size of the table
         found = part.join(sets, "id").join(rows.select("id", "salt"), "id").select("class", "salt", "shingles").dropDuplicates(["class"]).collect()
         if not found:
             continue
-        key = [mix(np.frombuffer(r.shingles, U) + mix(np.array([r.salt], np.int64).view(U))) for r in found]
-        owner = np.repeat(np.arange(len(found)), [len(k) for k in key])
-        key = np.concatenate(key)
+        token = [np.frombuffer(r.shingles, U) for r in found]
+        salt = mix(np.array([r.salt for r in found], np.int64).view(U))
+        owner = np.repeat(np.arange(len(found)), [len(t) for t in token])
+        token = np.concatenate(token)
+        cls, check = class_ids(owner, token, salt, np.bincount(owner, minlength=len(found)))
+        key = mix(token + salt[owner])
         order = np.argsort(key)
-        query = np.array([r["class"] for r in found], np.int64).view(U), key[order], owner[order]
-        out = out.unionAll(stage(rows.mapInArrow(_against_all(scheme, query), "src bigint, dst bigint"), "nd-rest"))
-    return out
-
+        query = np.array([r["class"] for r in found], np.int64).view(U), cls, check, key[order], owner[order]
+        out = out.unionAll(stage(rows.mapInArrow(_against_all(scheme, query), "src bigint, chk bigint, dst bigint"), "nd-rest"))
+    own = taken.select(F.col("a").alias("src"), F.col("b").alias("chk"), F.col("c").alias("own")).distinct()
+    return out.join(own, ["src", "chk"], "left").select(F.coalesce("own", "src").alias("src"), "dst").where("src <> dst")

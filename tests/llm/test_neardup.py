@@ -68,7 +68,7 @@ def test_equals_comparing_all_sets(spark, cost_limit):
 
 def test_rest_in_several_blocks(spark):
     rows = corpus(40, 3)
-    assert pairs(spark.createDataFrame(rows, SCHEMA), cost_limit=0, block_shingles=200) == brute(rows, 0.6, 3, 20)
+    assert pairs(spark.createDataFrame(rows, SCHEMA), cost_limit=0, most_cost=0, block_shingles=200) == brute(rows, 0.6, 3, 20)
 
 
 def test_odd_rows(spark):
@@ -143,6 +143,68 @@ def test_agreement_beyond_16_bits():
     """Two sets that agree in 70,000 signatures of one bucket."""
     m = 70_000
     sig, doc = np.repeat(np.arange(m, dtype=np.uint64), 2), np.tile(np.array([0, 1], np.int64), m)
-    out = neardup._match(sig, doc, np.zeros(2 * m, np.int8), np.array([11, 22], np.uint64), np.array([m, m]), Scheme(), 1)
+    out = neardup._match(sig, doc, np.zeros(2 * m, np.int8), np.array([11, 22], np.uint64), np.array([m, m]), np.array([64, 64]), Scheme(), 0)
     (block,) = [x for _, kind, x in out if kind == 1 and len(neardup.unpack(x)[0])]
     assert neardup.unpack(block)[3].tolist() == [m]
+
+
+def test_bounded_buckets(spark):
+    """A second exchange cuts coarse buckets; the result is the same."""
+    rows = corpus(80, 5)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert pairs(df, coarse_bits=1, bucket_bytes=200) == brute(rows, 0.6, 3, 20) == pairs(df, coarse_bits=0, bucket_bytes=4000)
+
+
+def test_merged_segments_leave_less_to_compare(spark):
+    """Boilerplate that is shared by all texts makes its signatures dear: larger segments are rarer."""
+    r = random.Random(4)
+    common = [f"w{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        at = r.randrange(60)
+        rows.append((i, "a", " ".join(common[at : at + 40] + [f"own{i}x{k}" for k in range(30)])))
+    rows += [(1000 + i, ns, text + " changed") for i, ns, text in rows[:20]]
+    df = spark.createDataFrame(rows, SCHEMA)
+    scheme = Scheme(threshold=0.6, width=3, min_words=20, cost_limit=8)
+    found = near_duplicates(df, "id", "txt", "ns", scheme)
+    assert found.merged > 0 and found.compared < found.merged
+    assert sorted((x.id_a, x.id_b) for x in found.pairs().collect()) == brute(rows, 0.6, 3, 20)
+    with pytest.raises(RuntimeError, match="passes"):
+        near_duplicates(df, "id", "txt", "ns", Scheme(threshold=0.6, width=3, min_words=20, cost_limit=0, most_cost=0, block_shingles=10, most_passes=3))
+
+
+def test_ids_beyond_the_filter_are_joined(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FILTER_BITS", 0)
+    rows = corpus(60, 8)
+    assert pairs(spark.createDataFrame(rows, SCHEMA)) == brute(rows, 0.6, 3, 20)
+
+
+def test_sets_of_one_class_id_are_told_apart():
+    """Two members with the first sum of their sets in common and not the second: both are compared with all rows."""
+    import pyarrow as pa
+
+    from tessera.llm.packing64 import pack
+
+    u = np.uint64
+    block = pack(np.array([1, 2, 3]), np.array([7, 7, 9], u), np.array([70, 71, 90], u), np.array([20, 20, 20]), np.array([20, 20, 20]), np.array([20, 20, 20]))
+    out = neardup._decide(Scheme(threshold=0.6), True)(pa.table({"part": [0], "kind": [0], "block": [block]})).to_pylist()
+    own = int(neardup.sub_class(np.array([7], u), np.array([71], u)).view(np.int64)[0])
+    assert [(x["a"], x["b"]) for x in out if x["kind"] == 0] == [(1, 7), (2, own), (3, 9)]
+    assert sorted(x["a"] for x in out if x["kind"] == 2) == sorted([7, own])
+    assert [(x["a"], x["b"], x["c"]) for x in out if x["kind"] == 3] == [(7, 71, own)]
+
+
+def test_rows_of_a_taken_class_id_are_compared(spark):
+    """``_rest`` finds the links of a class whose id was taken, under its own id."""
+    base = [f"w{i}" for i in range(40)]
+    rows = [(1, 0, " ".join(base)), (2, 0, " ".join(base + ["x"])), (3, 0, " ".join(f"y{i}" for i in range(40)))]
+    df = spark.createDataFrame(rows, "id bigint, salt bigint, text string")
+    scheme = Scheme(threshold=0.6, width=3, min_words=20)
+    owner, token = shingle_sets([t for _, _, t in rows], 3, 20)
+    n = np.bincount(owner)
+    cls, check = neardup.class_ids(owner, token, neardup.mix(np.zeros(3, np.uint64)), n)
+    c, k = cls.view(np.int64).tolist(), check.view(np.int64).tolist()
+    taken = spark.createDataFrame([(c[0], k[0], 5)], "a bigint, b bigint, c bigint")
+    bad = spark.createDataFrame([(5, int(n[0]))], "class bigint, size bigint")
+    deputy = spark.createDataFrame([(5, 1), (c[1], 2), (c[2], 3)], "class bigint, id bigint")
+    assert [tuple(r) for r in neardup._rest(df, bad, taken, deputy, scheme).collect()] == [(c[1], 5)]
