@@ -62,8 +62,8 @@ class Scheme:
     #: Shingles of sets without capacity that are compared with all rows in one pass, and passes beyond which it is an error.
     block_shingles: int = 1 << 22
     most_passes: int = 256
-    #: Estimated input per bucket of signatures (about a million entries, 50 MB when unpacked), and bits of the first exchange.
-    bucket_bytes: int = 1 << 20
+    #: Estimated input per bucket of signatures (about two million entries, 100 MB when unpacked), and bits of the first exchange.
+    bucket_bytes: int = 1 << 21
     coarse_bits: int = 15
 
     @property
