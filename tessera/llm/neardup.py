@@ -54,7 +54,7 @@ class Scheme:
     width: int = 5
     min_words: int = 5
     first_band: int = 16
-    band_ratio: int = 3
+    band_ratio: int = 4
     #: Mean of the shingles in a segment of the largest sets of a band, times ``slack``.
     fill: float = 0.6
     cost_limit: int = 64
