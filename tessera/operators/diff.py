@@ -22,17 +22,29 @@ def compare_copies(left: DataFrame, right: DataFrame, keys: list[str], fields: l
     """
     if clash := {"diff", "left_value", "right_value"} & set(keys):
         raise ValueError(f"key names are taken: {sorted(clash)}")
-    names = [f"k{i}" for i in range(len(keys))]
+    names = [f"__k{i}" for i in range(len(keys))]
+    one = lambda df, side: df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], *[F.col(f).cast("string").alias(f"__f{i}") for i, f in enumerate(fields)], F.lit(side).alias("side"))
+    return _differences(one(left, 0).unionByName(one(right, 1)), keys, fields, left_name, right_name)
 
-    def cells(df: DataFrame, side: int) -> DataFrame:
-        cell = [F.struct(F.lit(-1).alias("field"), F.lit(None).cast("string").alias("value"))]
-        cell += [F.struct(F.lit(i).alias("field"), F.col(f).cast("string").alias("value")) for i, f in enumerate(fields)]
-        return df.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.inline(F.array(*cell)), F.lit(side).alias("side"))
+
+def compare_sides(df: DataFrame, right: Column, keys: list[str], fields: list[str], left_name: str = "left", right_name: str = "right") -> DataFrame:
+    """:func:`compare_copies` of two copies that stand in one table, read once: rows where ``right`` is true are the right copy, where
+    it is false the left one, and where it is null neither."""
+    if clash := {"diff", "left_value", "right_value"} & set(keys):
+        raise ValueError(f"key names are taken: {sorted(clash)}")
+    names = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    rows = df.select(*names, *[F.col(f).cast("string").alias(f"__f{i}") for i, f in enumerate(fields)], right.cast("int").alias("side")).where("side is not null")
+    return _differences(rows, keys, fields, left_name, right_name)
+
+
+def _differences(rows: DataFrame, keys: list[str], fields: list[str], left_name: str, right_name: str) -> DataFrame:
+    names = [f"__k{i}" for i in range(len(keys))]
+    cell = [F.struct(F.lit(-1).alias("field"), F.lit(None).cast("string").alias("value"))]
+    cell += [F.struct(F.lit(i).alias("field"), F.col(f"__f{i}").alias("value")) for i in range(len(fields))]
+    cells = rows.select(*names, F.inline(F.array(*cell)), "side")
 
     count = lambda side: F.count(F.when(F.col("side") == side, 1))
-    open_cells = (
-        cells(left, 0).unionByName(cells(right, 1)).groupBy(*names, "field", "value").agg(count(0).alias("l"), count(1).alias("r")).where("l <> r")
-    )
+    open_cells = cells.groupBy(*names, "field", "value").agg(count(0).alias("l"), count(1).alias("r")).where("l <> r")
     # the presence cell of a key that is missing, or that the copies repeat differently, speaks for all its fields
     presence = F.max(F.when(F.col("field") == -1, F.struct("l", "r")))
     value = lambda n: F.max(F.when(F.col(n) > 0, F.col("value")))

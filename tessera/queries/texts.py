@@ -36,20 +36,51 @@ def string_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_RE2 = {c: text.dynamic_pattern(c).replace("'", "''") for c in ("date", "time", "currency", "percentage", "range")}
-
-
+# what each category means, written out for the SQL engine
+_SPELLED = {
+    "date": r"\b((mon|tue|wed|thu|fri|sat|sun)|(monday|tuesday|wednesday|thursday|friday|saturday|sunday)|(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)|(january|february|march|april|june|july|august|september|october|november|december)"
+    r"|\d\d?/\d\d?/\d{2,4}|\d\d?-\d\d?-\d{2,4}|\d\d?\.\d\d?\.\d{2,4}|\d{4}-\d\d-\d\d)\b",
+    "time": r"\b\d\d?(:\d\d|(:\d\d)?\s*(am|pm))\b",
+    "travel_count": r"\b\d+\s+((traveler|guest|adult|infant|passenger|room|night|day|seat|bag|person)s?|child|children|people|baggage)\b",
+    "shopping_count": r"\b\d+\s+((item|product|result|review|rating|star|order|listing)s?|match|matches)\b",
+    "general_count": r"\b\d+\s+((message|notification|comment|like|view|follower|post|photo|video|file|download|update|hour|minute|min|second|sec|week|month|year)s?|reply|replies|following)\b",
+    "currency": r"([$€£₹]|\b(usd|eur|gbp)\s*)\d+(,\d{3})*(\.\d\d)?\b|¥\d+(,\d{3})*\b|\b\d+(,\d{3})*\.\d\d\b",
+    "range": r"\b\d+(\s*[-–—]\s*|\s+to\s+)\d+\b|\b\d+\s*-\s*\d+\s*(night|day|hour)s?\b",
+    "percentage": r"\b\d+(\.\d+)?(%|\s*percent\b)",
+    "misc": r"\b(\d+\s*(mi|km|miles|kilometers)\s+away|in\s+\d+\s*(min|minutes?|hours?)|\d+\s*(min|minutes?|hours?|days?)\s+ago|(last|next)\s+\d+\s*(day|week|month)s?)\b",
+}
 # word ends in RE2 know ASCII letters only: others are made ASCII first
 _ASCII = r"regexp_replace(text, '[\x{C0}-\x{24F}\x{3040}-\x{9FFF}]', 'x', 'g')"
 
 
 @query(
-    "SELECT doc_id, " + ", ".join(f"regexp_matches(t, '{p}') AS has_{c}" for c, p in _RE2.items()) + f" FROM (SELECT doc_id, {_ASCII} AS t FROM documents WHERE text IS NOT NULL)"
+    "SELECT doc_id, " + ", ".join(f"regexp_matches(t, '(?i){p}') AS has_{c}" for c, p in _SPELLED.items()) + f" FROM (SELECT doc_id, {_ASCII} AS t FROM documents WHERE text IS NOT NULL)"
 )
 def text_dynamic_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What kinds of changing content a document holds."""
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", *[text.contains_dynamic(F.col("text"), c).alias(f"has_{c}") for c in _RE2])
+    return docs.select("doc_id", *[text.contains_dynamic(F.col("text"), c).alias(f"has_{c}") for c in text.DYNAMIC])
+
+
+_HITS = [
+    ("currency", r"[$€£₹]\d+(?:,\d{3})*(?:\.\d\d)?\b"), ("currency", r"¥\d+(?:,\d{3})*\b"), ("currency", r"\b\d+(?:,\d{3})*\.\d\d\b"), ("currency", r"\b(?:USD|EUR|GBP)\s*\d+(?:,\d{3})*(?:\.\d\d)?\b"),
+    ("percentage", r"\b\d+(?:\.\d+)?%"), ("percentage", r"\b\d+(?:\.\d+)?\s*percent\b"), ("percentage", r"\b\d+%\s*off\b"),
+]
+
+
+def _hits(category: str, pattern: str) -> str:
+    return f"list_transform(regexp_extract_all(t, '(?i){pattern}'), lambda h: {{'category': '{category}', 'hit': h}})"
+
+
+@query(
+    "SELECT doc_id, h.category AS category, h.hit AS hit, count(*) AS n FROM (SELECT doc_id, unnest(" + " || ".join(_hits(*x) for x in _HITS)
+    + f") AS h FROM (SELECT doc_id, {_ASCII} AS t FROM documents WHERE text IS NOT NULL)) GROUP BY ALL"
+)
+def text_dynamic_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The amounts and percentages of every document, as often as a pattern hits them."""
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    hits = docs.select("doc_id", F.inline(text.dynamic_matches(F.col("text")))).where(F.col("category").isin("currency", "percentage"))
+    return hits.groupBy("doc_id", "category", F.col("text").alias("hit")).agg(F.count("*").alias("n"))
 
 
 @query(

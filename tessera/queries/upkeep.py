@@ -13,15 +13,15 @@ from tessera.staging import new_path, stage
 # ---- copies
 
 
-def _copy(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The files of one copy as last scanned: ``(rel_path, size, sha256)``."""
-    roots = table(spark, sf_dir, "file_roots").where("copy_role = 'compared'").select(F.lower(F.trim("root_name")).alias("root"), "root_dir").where(F.col("root") == name)
-    scans = table(spark, sf_dir, "file_candidates").withColumn("root", F.lower(F.trim("root_name"))).where(F.col("root") == name)
+def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of both copies as last scanned: ``(root, rel_path, size, sha256)``; one scan for both."""
+    roots = table(spark, sf_dir, "file_roots").where("copy_role = 'compared'").select(F.lower(F.trim("root_name")).alias("root"), "root_dir")
+    scans = table(spark, sf_dir, "file_candidates").withColumn("root", F.lower(F.trim("root_name")))
     digest = F.regexp_replace(F.lower(F.trim(F.regexp_replace("sha256", r"\s+", ""))), r"^(sha256:|0x)", "")
     scans = scans.join(F.broadcast(roots), "root").select(
-        path_below("abs_path", "root_dir").alias("rel_path"), "scanned_at", "scan_id", "size", F.nullif(F.ltrim(digest, F.lit("0")), F.lit("")).alias("sha256")
+        "root", path_below("abs_path", "root_dir").alias("rel_path"), "scanned_at", "scan_id", "size", F.nullif(F.ltrim(digest, F.lit("0")), F.lit("")).alias("sha256")
     )
-    return diff.latest(scans.where("rel_path is not null"), ["rel_path"], ["scanned_at", "scan_id"])
+    return diff.latest(scans.where("rel_path is not null"), ["root", "rel_path"], ["scanned_at", "scan_id"])
 
 
 # ``..`` goes with the segment before it, as often as segments can stand in a row
@@ -30,26 +30,31 @@ for _ in range(6):
     _PLAIN = rf"regexp_replace({_PLAIN}, '/[^/]+/\.\.(/|$)', '/')"
 
 
-@query(
-    rf"""WITH s AS (SELECT lower(trim(root_name)) AS root, scan_id, scanned_at, size, nullif(ltrim(regexp_replace(lower(regexp_replace(sha256, '\s+', '', 'g')), '^(sha256:|0x)', ''), '0'), '') AS sha,
+_BOTH = rf"""WITH s AS (SELECT lower(trim(root_name)) AS root, scan_id, scanned_at, size, nullif(ltrim(regexp_replace(lower(regexp_replace(sha256, '\s+', '', 'g')), '^(sha256:|0x)', ''), '0'), '') AS sha,
     {_PLAIN} AS path FROM file_candidates WHERE lower(trim(root_name)) IN ('north_copy', 'south_copy')),
     r AS (SELECT *, CASE root WHEN 'north_copy' THEN substr(path, length('/srv/north/data/') + 1) ELSE substr(path, length('D:/south/data/') + 1) END AS rel FROM s),
     l AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY root, rel ORDER BY scanned_at DESC, scan_id DESC) = 1),
-    j AS (SELECT coalesce(n.rel, s.rel) AS rel, n.rel IS NULL AS no_n, s.rel IS NULL AS no_s, n.size IS DISTINCT FROM s.size AS z, n.sha IS DISTINCT FROM s.sha AS h
-    FROM (SELECT * FROM l WHERE root = 'north_copy') n FULL JOIN (SELECT * FROM l WHERE root = 'south_copy') s ON n.rel = s.rel)
-    SELECT rel AS rel_path, 'missing_in_north' AS diff FROM j WHERE no_n UNION ALL SELECT rel, 'missing_in_south' FROM j WHERE no_s
+    j AS (SELECT coalesce(n.rel, s.rel) AS rel, n.rel IS NULL AS no_n, s.rel IS NULL AS no_s, n.size IS DISTINCT FROM s.size AS z, n.sha IS DISTINCT FROM s.sha AS h,
+    CAST(n.size AS VARCHAR) AS n_size, CAST(s.size AS VARCHAR) AS s_size, n.sha AS n_sha, s.sha AS s_sha
+    FROM (SELECT * FROM l WHERE root = 'north_copy') n FULL JOIN (SELECT * FROM l WHERE root = 'south_copy') s ON n.rel = s.rel)"""
+
+
+@query(
+    f"""{_BOTH} SELECT rel AS rel_path, 'missing_in_north' AS diff FROM j WHERE no_n UNION ALL SELECT rel, 'missing_in_south' FROM j WHERE no_s
     UNION ALL SELECT rel, 'size' FROM j WHERE NOT no_n AND NOT no_s AND z UNION ALL SELECT rel, 'sha256' FROM j WHERE NOT no_n AND NOT no_s AND h"""
 )
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    north, south = (_copy(spark, sf_dir, f"{side}_copy") for side in ("north", "south"))
-    return diff.compare_copies(north, south, ["rel_path"], ["size", "sha256"], "north", "south").select("rel_path", "diff")
+    return p2_differences(spark, sf_dir).select("rel_path", "diff")
 
 
-@query()
+@query(
+    f"""{_BOTH} SELECT rel AS rel_path, 'missing_in_north' AS diff, NULL AS left_value, NULL AS right_value FROM j WHERE no_n UNION ALL SELECT rel, 'missing_in_south', NULL, NULL FROM j WHERE no_s
+    UNION ALL SELECT rel, 'size', n_size, s_size FROM j WHERE NOT no_n AND NOT no_s AND z UNION ALL SELECT rel, 'sha256', n_sha, s_sha FROM j WHERE NOT no_n AND NOT no_s AND h"""
+)
 def p2_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What differs, with both values."""
-    north, south = (_copy(spark, sf_dir, f"{side}_copy") for side in ("north", "south"))
-    return diff.compare_copies(north, south, ["rel_path"], ["size", "sha256"], "north", "south")
+    side = F.when(F.col("root") == "north_copy", False).when(F.col("root") == "south_copy", True)
+    return diff.compare_sides(_copies(spark, sf_dir), side, ["rel_path"], ["size", "sha256"], "north", "south")
 
 
 # ---- manifests
@@ -59,8 +64,11 @@ LISTS = ("turns", "artifacts")
 
 def current_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, manifest_id, manifest)``: the complete manifest written last of each session."""
-    saved = table(spark, sf_dir, "session_manifests").withColumn("session_id", F.expr("try_variant_get(try_parse_json(manifest), '$.session_id', 'string')"))
-    return diff.latest(saved.where("session_id is not null").select("session_id", "written_at", "manifest_id", "manifest"), ["session_id"], ["written_at", "manifest_id"])
+    saved = table(spark, sf_dir, "session_manifests")
+    named = saved.select(F.expr("try_variant_get(try_parse_json(manifest), '$.session_id', 'string')").alias("session_id"), "written_at", "manifest_id").where("session_id is not null")
+    # the newest are chosen by ids alone: no manifest is shuffled that is not needed
+    newest = stage(diff.latest(named, ["session_id"], ["written_at", "manifest_id"]).select("session_id", "manifest_id"), "newest")
+    return saved.select("manifest_id", "manifest").join(newest, "manifest_id")
 
 
 def manifest_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

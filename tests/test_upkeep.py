@@ -199,3 +199,26 @@ def test_components(spark):
     got = {x.node: x.component for x in connected_components(spark.createDataFrame(edges, "src int, dst int")).collect()}
     assert got == {x: root(x) for x in list(parent)}
     assert connected_components(spark.createDataFrame([], "src int, dst int")).count() == 0
+
+
+JSON_VALUES = st.recursive(
+    st.none() | st.booleans() | st.integers(-(2**40), 2**40) | st.floats(allow_nan=False, allow_infinity=False) | st.text(max_size=5) | st.sampled_from(["12", "null", "[1]", "a.b", '"x"', "\\"]),
+    lambda inner: st.lists(inner, max_size=4) | st.dictionaries(st.text(max_size=3) | st.sampled_from(["a", "a.b", "a/b", "\\", ".", "turns"]), inner, max_size=4),
+    max_leaves=20,
+)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.text(max_size=3) | st.sampled_from(["x", "a.b", "turns"]), JSON_VALUES, max_size=5))
+def test_a_record_can_be_rebuilt_from_its_nodes(record):
+    assert shred.restore(list(shred.walk(record, frozenset()))) == record
+
+
+def test_nothing_of_mixed_lists_is_lost(spark):
+    text = '{"x":[1,{"a":2},"s",null],"turns":["t1",{"n":1}],"m":{"a.b":1,"a":{"b":2}}, "e": [], "o": {}}'
+    nodes = shred.shred(spark.createDataFrame([(7, text)], "id bigint, j string"), "id", "j", ("turns",))
+    rows = sorted((r.node, r.path, r.ordinal, r.fields, r.texts) for r in nodes.collect())
+    assert [r[1:4] for r in rows if r[1] == "/x"] == [("/x", 1, {shred.VALUE: "1"}), ("/x", 2, {"a": "2"}), ("/x", 3, {shred.VALUE: "s"}), ("/x", 4, {shred.VALUE: None})]
+    assert next(r[3] for r in rows if r[1] == "") == {"m.a\\.b": "1", "m.a.b": "2", "e": "[]", "o": "{}"}
+    assert shred.restore(rows) == json.loads(text)
+    assert [r.n for r in shred.table(nodes, "/turns", {"n": "n"}).collect()] == ["1"]
