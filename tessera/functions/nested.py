@@ -196,6 +196,18 @@ def first_of(*columns: Column) -> Column:
 # ---- open JSON
 
 
+_END = "\\u0001 end"
+
+
+def whole_json(text: Column) -> Column:
+    """The text's value as a variant, null unless the whole text is one JSON value: ``try_parse_json`` by itself reads the first value
+    and takes no notice of what follows it."""
+    # with a last element of our own, only a single value before it gives a list of these two
+    pair = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(f',"{_END}"]'))), "$", "array<variant>")
+    last = F.try_variant_get(F.try_element_at(pair, F.lit(2)), "$", "string")
+    return F.when((F.size(pair) == 2) & (last == "\u0001 end"), F.try_element_at(pair, F.lit(1)))
+
+
 def json_at(doc: Column, path: str) -> Column:
     """The value at a dotted path of a JSON text, as text; null where it is missing or the text is no JSON."""
     return F.get_json_object(doc, "$" + "".join(f"['{n}']" if not n.isdecimal() else f"[{n}]" for n in parse_path(path)))

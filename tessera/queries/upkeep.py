@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
+from tessera.functions.nested import whole_json
 from tessera.functions.paths import path_below, plain_path
 from tessera.operators import compaction, diff, hotkeys, shred
 from tessera.staging import new_path, stage
@@ -65,7 +66,7 @@ LISTS = ("turns", "artifacts")
 def current_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, manifest_id, manifest)``: the complete manifest written last of each session."""
     saved = table(spark, sf_dir, "session_manifests")
-    named = saved.select(F.expr("try_variant_get(try_parse_json(manifest), '$.session_id', 'string')").alias("session_id"), "written_at", "manifest_id").where("session_id is not null")
+    named = saved.select(F.try_variant_get(whole_json(F.col("manifest")), "$.session_id", "string").alias("session_id"), "written_at", "manifest_id").where("session_id is not null")
     # the newest are chosen by ids alone: no manifest is shuffled that is not needed
     newest = stage(diff.latest(named, ["session_id"], ["written_at", "manifest_id"]).select("session_id", "manifest_id"), "newest")
     return saved.select("manifest_id", "manifest").join(newest, "manifest_id")
@@ -110,19 +111,31 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return artifacts.select("session_id", "turn_number", F.col("path").alias("artifact_path")).distinct()
 
 
-@query()
+_SESSION_FIELDS = ["session_id", "creation_timestamp", "end_timestamp", "session_type", "status", "session_dir", "session_log_file"]
+
+
+@query(
+    f"SELECT {', '.join(f_ + ' AS ' + n for n, f_ in ((n, f'(j ->> {chr(39)}$.{n}{chr(39)})') for n in _SESSION_FIELDS))} FROM (SELECT CAST(manifest AS JSON) AS j, written_at, manifest_id FROM session_manifests WHERE json_valid(manifest))"
+    " QUALIFY row_number() OVER (PARTITION BY j ->> '$.session_id' ORDER BY written_at DESC, manifest_id DESC) = 1"
+)
 def p5_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest_tables(spark, sf_dir)[0].drop("doc", "parent")
+    return manifest_tables(spark, sf_dir)[0].select(*_SESSION_FIELDS)
 
 
-@query()
+@query(
+    f"""{_CURRENT} SELECT session_id, TRY_CAST(TRY_CAST(turn ->> '$.turn_number' AS DOUBLE) AS BIGINT) AS turn_number, turn ->> '$.start_timestamp' AS start_timestamp, turn ->> '$.end_timestamp' AS end_timestamp,
+    turn ->> '$.log_file' AS log_file FROM t WHERE json_type(turn) = 'OBJECT'"""
+)
 def p5_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest_tables(spark, sf_dir)[1].drop("doc")
+    return manifest_tables(spark, sf_dir)[1].select("session_id", "turn_number", "start_timestamp", "end_timestamp", "log_file")
 
 
-@query()
+@query(
+    f"""{_CURRENT} SELECT session_id, TRY_CAST(TRY_CAST(turn ->> '$.turn_number' AS DOUBLE) AS BIGINT) AS turn_number, artifact ->> '$.path' AS path, artifact ->> '$.type' AS type,
+    coalesce(artifact ->> '$.producer', artifact ->> '$.class_name') AS producer, artifact ->> '$.timestamp' AS timestamp, TRY_CAST(TRY_CAST(artifact ->> '$.step' AS DOUBLE) AS BIGINT) AS step FROM a WHERE json_type(artifact) = 'OBJECT'"""
+)
 def p5_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return manifest_tables(spark, sf_dir)[2].drop("doc", "parent")
+    return manifest_tables(spark, sf_dir)[2].select("session_id", "turn_number", "path", "type", "producer", "timestamp", "step")
 
 
 # ---- small files
@@ -136,9 +149,11 @@ def named_session_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, turns, artifacts = manifest_tables(spark, sf_dir)
     named = turns.select("session_id", plain_path(F.col("log_file")).alias("path")).unionByName(artifacts.select("session_id", plain_path(F.col("path")).alias("path")))
     named = named.where("path <> ''").distinct()
-    files = table(spark, sf_dir, "session_files").withColumn("path", plain_path(F.col("file_path")))
-    files = files.select("session_id", "path", "written_at", "file_id", "kind", "body").join(named, ["session_id", "path"], "left_semi")
-    files = diff.latest(files, ["session_id", "path"], ["written_at", "file_id"])
+    files = table(spark, sf_dir, "session_files")
+    # the newest writes are chosen by ids alone, and the bodies fetched for them
+    writes = files.select("session_id", plain_path(F.col("file_path")).alias("path"), "written_at", "file_id").join(named, ["session_id", "path"], "left_semi")
+    newest = diff.latest(writes, ["session_id", "path"], ["written_at", "file_id"]).select("session_id", "path", "file_id")
+    files = newest.join(files.select("file_id", "kind", "body"), "file_id")
     return files.select(F.concat_ws("\n", "session_id", "path").alias("name"), "session_id", "path", "kind", "body")
 
 
@@ -164,11 +179,33 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compacted_session_files(spark, sf_dir).manifest.where(F.col("n_bytes") < SMALL_BYTES).select(parts[0].alias("session_id"), parts[1].alias("file_path"))
 
 
+_NAMED_FILES = f"""{_CURRENT}, n AS (SELECT session_id, turn ->> '$.log_file' AS p FROM t UNION ALL SELECT session_id, artifact ->> '$.path' FROM a),
+    w AS (SELECT DISTINCT session_id, {_SEGMENTS.format("p")} AS path FROM n WHERE p IS NOT NULL),
+    f AS (SELECT session_id, {_SEGMENTS.format("file_path")} AS path, kind, body FROM session_files QUALIFY row_number() OVER (PARTITION BY session_id, {_SEGMENTS.format("file_path")} ORDER BY written_at DESC, file_id DESC) = 1),
+    k AS (SELECT f.* FROM f SEMI JOIN w USING (session_id, path)),
+    l AS (SELECT session_id, path, line, CASE WHEN json_valid(line) THEN line ->> '$.record_id' END AS record_id FROM (SELECT session_id, path, unnest(string_split_regex(body, '\\r?\\n')) AS line FROM k WHERE kind = 'log') WHERE trim(line) <> ''),
+    r AS (SELECT session_id, record_id, count(DISTINCT path) AS n_paths, count(DISTINCT line) > 1 AS conflict FROM l WHERE record_id IS NOT NULL GROUP BY ALL)"""
+
+
+@query(
+    f"""{_NAMED_FILES} SELECT (SELECT count(*) FROM r) + (SELECT count(*) FROM l WHERE record_id IS NULL) + (SELECT count(*) FROM k WHERE kind IS DISTINCT FROM 'log') AS n_rows, (SELECT count(*) FROM k) AS n_files,
+    (SELECT count(*) FROM r) AS n_records, (SELECT count(*) FROM r WHERE n_paths > 1) AS n_in_several, (SELECT count(*) FROM r WHERE conflict) AS n_conflicts, (SELECT sum(strlen(coalesce(body, ''))) FROM k) AS n_bytes"""
+)
+def p4_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was consolidated, as a whole: rows, files, records, records in several files and with differing bodies, bytes of body read."""
+    done = compacted_session_files(spark, sf_dir)
+    data = spark.read.parquet(f"{done.path}/data")
+    has, n = F.col("record_id").isNotNull(), lambda c: F.count(F.when(c, 1))
+    rows = data.agg(F.count("*").alias("n_rows"), n(has).alias("n_records"), n(has & (F.size("paths") > 1)).alias("n_in_several"), n(has & F.col("conflict")).alias("n_conflicts"))
+    files = done.manifest.agg(F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes"))
+    return rows.join(files, F.lit(True)).select("n_rows", "n_files", "n_records", "n_in_several", "n_conflicts", "n_bytes")
+
+
 @query()
 def p4_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that were written: rows and bytes of body in each."""
     done = compacted_session_files(spark, sf_dir)
-    data = spark.read.parquet(f"{done.path}/data").withColumn("bin", F.col("bin").cast("bigint"))
+    data = spark.read.parquet(f"{done.path}/data")
     return data.groupBy("bin").agg(F.count("*").alias("n_rows"), F.sum(F.octet_length("body")).alias("n_bytes"), F.countDistinct("session_id").alias("n_sessions"))
 
 

@@ -51,6 +51,12 @@ def discard(*staged: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def folder_bytes(staged: DataFrame) -> int:
+    """What a staged table takes up."""
+    at = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
+    return int(at.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).getContentSummary(at).getLength())
+
+
 def parallelism(spark: SparkSession) -> int:
     """The session's number of shuffle partitions: the number of hash buckets an operator cuts its work into."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

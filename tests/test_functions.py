@@ -201,3 +201,11 @@ def test_nested(spark):
 )
 def test_metadata_filters(value, doc, filters, want):
     assert value(nested.json_matches(C("s"), filters), s=doc) is want
+
+
+@pytest.mark.parametrize(
+    ("text_", "want"),
+    [('{"a": 1}', '{"a":1}'), (' [1, 2] ', "[1,2]"), ("5", "5"), ('"x"', '"x"'), ("null", "null"), ('{"a": 1} x', None), ('{"a": 1}, 2', None), ('{"a": 1}] x', None), ('{"a"', None), ("", None), (None, None)],
+)
+def test_whole_json(value, text_, want):
+    assert value(F.to_json(nested.whole_json(C("s"))), s=text_) == want

@@ -222,3 +222,20 @@ def test_nothing_of_mixed_lists_is_lost(spark):
     assert next(r[3] for r in rows if r[1] == "") == {"m.a\\.b": "1", "m.a.b": "2", "e": "[]", "o": "{}"}
     assert shred.restore(rows) == json.loads(text)
     assert [r.n for r in shred.table(nodes, "/turns", {"n": "n"}).collect()] == ["1"]
+
+
+def test_empty_bodies_are_packed_by_several_tasks(spark):
+    files = spark.range(100_000).select(F.concat(F.lit("f"), "id").alias("name"), F.lit(0).cast("bigint").alias("n"))
+    out = compaction.assign_bins(files, "name", "n", 100, names_per_task=10_000)
+    n_bins, least, n = out.agg(F.count_distinct("bin"), F.min("bin"), F.count("*")).first()
+    assert (n_bins, least, n) == (10, 0, 100_000) and out.groupBy("bin").count().agg(F.max("count")).first()[0] < 15_000
+
+
+def test_compaction_reports_paths_and_conflicts(spark):
+    rows = [("s\na", "s", "a", "log", '{"record_id": "1", "v": 1}\n{"record_id": "2"}'), ("s\nb", "s", "b", "log", '{"record_id": "1", "v": 2}\n{"record_id": "2"}')]
+    done = compacted(spark, rows)
+    told = {r.record_id: (r.file_path, r.paths, r.conflict) for r in spark.read.parquet(f"{done.path}/data").collect()}
+    assert told == {"1": ("a", ["a", "b"], True), "2": ("a", ["a", "b"], False)}
+    assert compaction.opened(spark, done.path).n_rows == 2
+    with pytest.raises(FileNotFoundError):
+        compaction.opened(spark, new_path(spark, "nowhere"))
