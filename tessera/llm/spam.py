@@ -1,166 +1,110 @@
-"""Pages of repeated keywords, links or tags, found by labelling their lines with a hidden Markov model."""
+"""Pages of repeated keywords, links or tags, found by labelling their lines with a hidden Markov model.
+
+What is seen of a line knows no language and no words: shares of links, marks and separators, how often the page repeats the
+line's words, whether it has the form of sentences, how long its words are.  The model starts from a documented prior and is fitted
+to the corpus at hand by Baum-Welch on a bounded sample of its pages (:func:`fit`).
+"""
 
 from __future__ import annotations
 
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATES = ("prose", "link list", "tag list", "menu")
+LABELS = ("prose", "link list", "tag list", "menu")
+#: The hidden states, and the label of each: repeated keywords and lists of short items are tag lists too.
+STATES = ("prose", "links", "tags", "keywords", "items", "crumbs")
+LABEL_OF = np.array([0, 1, 2, 2, 2, 3])
 
-# Function words of sentences, by language.  Words that keyword phrases share ("me", "no", "all", "of") are left out.
-_FUNCTION_WORDS = frozenset(
-    """
-    the an and or but if in on at to for from with by as is are was were be been it its this that these those than then when where which who whom why how what
-    not do does did can could may might will would shall should has have had our we they he she you your their his her because before after between during
-    into over under while until unless each every only most more some any there here again yet also so such very one although though once nothing per within without
-    el la los las un una unos unas de del al en por para con sin sobre entre que cuando donde quien porque como si se su sus es son fue era hay más este esta
-    aunque antes además después hasta siguió quedó
-    le les des du une et dans pour par avec sans sur sous entre qui que quand où dont comme chez est sont était ont il elle ce cette ces ses leur plus ainsi même
-    der die das den dem des ein eine einen einem einer und oder aber im am zum zur von mit für auf aus bei nach vor zwischen nur nicht als wie wenn weil obwohl sobald
-    ist sind war wird werden hat haben sich wer was dagegen außerdem etwa vorher davon
-    """.split()
-)
-_HIRAGANA = re.compile(r"[ぁ-ゟ]")
-_CJK = re.compile(r"[ぁ-ヿ㐀-鿿]")
-_WORD = re.compile(r"[^\W\d_]{2,}")
-_LINK = re.compile(
-    r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|(?<![\w@])(?:[\w-]+\.)+[a-z]{2,}/\S*", re.IGNORECASE
-)
+# ---- what is seen of a line
+
+#: Scripts written without blanks between words: their words are pairs of characters.
+_WIDE = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿\U00020000-\U0003ffff]")
+_WIDE_RUN = re.compile(rf"{_WIDE.pattern}+")
+_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
+_LINK = re.compile(r"<a\b[^>]*>.*?</a>|\[[^\]\n]*\]\([^)\s]*\)|(?:https?://|www\.)\S+|(?<![\w@])(?:[\w-]+\.)+[a-z]{2,}/\S*", re.IGNORECASE)
 _TAG = re.compile(r"(?<!\w)#\w+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ _]+){3,}[^\W_](?![^\W_])")
 _LEET = re.compile(r"\b[^\W\d_]+\d+[^\W\d_]\w*\b")
-_STOP = re.compile(r"[.!?…][\"'”’»)\]]*$")
+#: Ends of sentences of many scripts.
+_STOP = re.compile(r"(?<=\w\w)[.!?…؟۔।॥։።]+[\"'”’»)\]]*(?=\s+[^\W\d]|\s*$)|[。！？]+[」』]*")
 _CRUMB = re.compile(r"\s(?:>|›|»|::)\s")
-_SEPARATOR = re.compile(r"[|·•*/;,:]|\(\d+\)| - ")
-
-#: What is seen of a line.
-SENTENCE, MIXED, LINKS, LISTED, CRUMBS, REPEATED, SHORT, OTHER = range(8)
-
-# How often a line of each state looks like each of the above, how states follow each other, and how pages begin.
-_EMISSION = np.log(
-    np.array(
-        [  # sentence mixed links  listed crumbs repeated short other
-            [0.800, 0.100, 0.004, 0.010, 0.002, 0.002, 0.042, 0.040],
-            [0.010, 0.030, 0.830, 0.020, 0.010, 0.010, 0.070, 0.020],
-            [0.004, 0.030, 0.020, 0.330, 0.010, 0.326, 0.130, 0.150],
-            [0.004, 0.030, 0.050, 0.250, 0.426, 0.040, 0.150, 0.050],
-        ]
-    )
-)
-_STAY = 0.85
-_TRANSITION = np.log(np.full((4, 4), (1 - _STAY) / 3) + np.eye(4) * (_STAY - (1 - _STAY) / 3))
-_START = np.log(np.array([0.7, 0.1, 0.1, 0.1]))
-
-
-class Page:
-    """The lines of a text, and the counts of its words where they are asked for."""
-
-    def __init__(self, text: str):
-        self.lines = lines_of(text)
-        self._text, self._seen = text, None
-
-    def repeated(self, words: list[str]) -> float:
-        """The share of the words that the page uses more than twice and in more than three of ten lines."""
-        if self._seen is None:
-            self._seen = Counter(_WORD.findall(self._text.lower()))
-        least = max(2, 0.3 * len(self.lines))
-        return sum(self._seen[w] > least for w in words) / len(words)
-
-    def uses(self, word: str) -> int:
-        return self._seen[word]
-
-
-def observe(line: str, page: Page) -> int:
-    """The symbol of one line."""
-    low = line.lower()
-    parts = low.split()
-    function = sum(map(_FUNCTION_WORDS.__contains__, parts))
-    if function >= 2 and function >= 0.15 * len(parts) and (function >= 0.3 * len(parts) or len(parts) < 12 or len(set(parts)) > 0.45 * len(parts)):
-        return SENTENCE
-    links = 0
-    rest = line
-    if "." in line or "<" in line or "](" in line:
-        rest, n = _LINK.subn(" ", line)
-        links = len(line) - len(rest) + n if n else 0
-    low = rest.lower()
-    cjk = 0 if rest.isascii() else len(_CJK.findall(rest))
-    if cjk >= 6 and cjk * 6 > len(rest):
-        # particles and endings are written in hiragana: names and nouns alone have few
-        kana = len(_HIRAGANA.findall(rest))
-        if kana >= 4 and kana >= 0.2 * cjk:
-            return SENTENCE
-        return LINKS if links * 2 > len(line) else LISTED if len(_SEPARATOR.findall(rest)) * 8 > cjk else REPEATED
-    words = _WORD.findall(low)
-    if _SPACED.search(rest) or len(_LEET.findall(low)) * 4 > len(words) > 3:
-        return REPEATED
-    content = [w for w in words if w not in _FUNCTION_WORDS]
-    function = len(words) - len(content)
-    if len(content) >= 10 and len(set(content)) <= 0.4 * len(content) and function < 0.3 * len(words):
-        return REPEATED
-    if function >= 2 and function >= 0.15 * len(words):
-        return SENTENCE
-    if links * 2 > len(line):
-        return LINKS
-    tags = len(_TAG.findall(rest))
-    if tags and tags * 2 >= len(words) - tags:
-        return LISTED
-    crumbs = len(_CRUMB.findall(rest))
-    if crumbs >= 2:
-        return CRUMBS
-    if not words:
-        return SHORT
-    separators = len(_SEPARATOR.findall(rest))
-    again = page.repeated(words)
-    if function and function >= 0.06 * len(words) and len(set(words)) > 0.7 * len(words) and _STOP.search(rest) and separators * 2 < len(words):
-        return SENTENCE
-    if separators >= 3 and separators * 7 >= len(words):
-        return LISTED
-    if function and function >= 0.1 * len(words):
-        return MIXED
-    if len(words) >= 6 and (len(set(words)) <= 0.6 * len(words) or again > 0.6):
-        return REPEATED
-    if again > 0.6 and len(page.lines) >= 5 and page.uses(words[0]) >= 4:
-        return REPEATED
-    if len(words) < 6:
-        return SHORT
-    return OTHER
-
-
-def label(symbols: list[int]) -> list[int]:
-    """The likeliest states of a page's lines (Viterbi)."""
-    score = [s + e for s, e in zip(_START_L, _EMISSION_T[symbols[0]], strict=True)]
-    back = []
-    for symbol in symbols[1:]:
-        emission = _EMISSION_T[symbol]
-        best = max(range(4), key=score.__getitem__)
-        moved = score[best] + _MOVE
-        step = [k if score[k] + _KEEP >= moved else best for k in range(4)]
-        score = [(score[k] + _KEEP if step[k] == k else moved) + emission[k] for k in range(4)]
-        back.append(step)
-    state = max(range(4), key=score.__getitem__)
-    out = [state]
-    for step in reversed(back):
-        state = step[state]
-        out.append(state)
-    return out[::-1]
-
-
-_START_L, _EMISSION_T = _START.tolist(), _EMISSION.T.tolist()
-_KEEP, _MOVE = float(_TRANSITION[0, 0]), float(_TRANSITION[0, 1])
-_MOST_LINE = 2000
-_CUT = re.compile(r"(?<=[.!?。])\s+|(?<=。)")
+_COMMA = re.compile(r"[,;、，；]")
+_SEPARATOR = re.compile(r"[|·•*/]|\(\d+\)| [-–—] ")
+_CODE = re.compile(r"[()\[\]{}<>=_\\+&\"`]")
+_CUT = re.compile(r"(?<=\w\w[.!?])\s+(?=[^\W\d])|(?<=[。！？])")
+_ANCHOR_END = re.compile(r"(</a>(?:\s*<br\s*/?>)?)", re.IGNORECASE)
+_COUNTED = re.compile(r"\(\d+\)")
+_MOST_LINE = 250
+
+
+@dataclass(frozen=True)
+class Feature:
+    """A feature of a line: cut into values at ``edges``; a line that does not have it has value -1 and tells nothing by it."""
+
+    name: str
+    edges: tuple[float, ...]
+    #: For each state how likely each value is before anything was seen.
+    prior: tuple[tuple[float, ...], ...]
+    #: What defines a state is not fitted: else a state could come to mean something else.
+    fitted: bool = True
+
+    def value(self, x: float | None) -> int:
+        if x is None:
+            return -1
+        return sum(x >= e for e in self.edges)
+
+
+# The prior, by state: prose, links, tags, keywords, items, crumbs.
+FEATURES = (
+    Feature("share of links", (0.001, 0.3, 0.6), ((0.93, 0.05, 0.01, 0.01), (0.02, 0.06, 0.16, 0.76), *[(0.95, 0.03, 0.01, 0.01)] * 4), False),
+    Feature("share of tags", (0.01, 0.3), ((0.97, 0.025, 0.005), (0.97, 0.02, 0.01), (0.03, 0.07, 0.9), *[(0.97, 0.02, 0.01)] * 3), False),
+    Feature("separators a word", (0.03, 0.12, 0.25), ((0.9, 0.085, 0.01, 0.005), (0.6, 0.1, 0.1, 0.2), (0.8, 0.1, 0.05, 0.05), (0.75, 0.1, 0.08, 0.07), (0.15, 0.1, 0.25, 0.5), (0.5, 0.15, 0.15, 0.2)), False),
+    Feature("commas a word", (0.08, 0.2, 0.35), ((0.6, 0.34, 0.05, 0.01), (0.7, 0.15, 0.05, 0.1), (0.8, 0.1, 0.05, 0.05), (0.6, 0.18, 0.12, 0.1), (0.5, 0.05, 0.1, 0.35), (0.8, 0.1, 0.05, 0.05)), False),
+    Feature("share of letters in words the page repeats", (0.2, 0.4, 0.6, 0.8), ((0.56, 0.28, 0.12, 0.03, 0.01), (0.5, 0.2, 0.14, 0.1, 0.06), (0.4, 0.15, 0.15, 0.15, 0.15), (0.02, 0.05, 0.15, 0.3, 0.48), (0.3, 0.2, 0.18, 0.16, 0.16), (0.2, 0.15, 0.2, 0.2, 0.25))),
+    Feature("share of the line's leading word on the page", (0.08, 0.14), ((0.9, 0.08, 0.02), (0.7, 0.15, 0.15), (0.7, 0.15, 0.15), (0.4, 0.3, 0.3), (0.6, 0.2, 0.2), (0.6, 0.2, 0.2))),
+    Feature("different words", (0.4, 0.6, 0.8), ((0.005, 0.03, 0.2, 0.465), (0.05, 0.05, 0.1, 0.3), (0.05, 0.1, 0.2, 0.4), (0.3, 0.25, 0.12, 0.05), (0.1, 0.15, 0.25, 0.2), (0.12, 0.14, 0.14, 0.2))),
+    Feature("words a sentence", (4.0, 1000.0), ((0.05, 0.55, 0.4), (0.02, 0.06, 0.92), (0.02, 0.03, 0.95), (0.08, 0.2, 0.72), (0.07, 0.08, 0.85), (0.03, 0.05, 0.92)), False),
+    Feature("share of short words", (0.1, 0.25), ((0.12, 0.28, 0.45), (0.28, 0.1, 0.1), (0.55, 0.15, 0.05), (0.4, 0.22, 0.13), (0.3, 0.25, 0.2), (0.4, 0.16, 0.09))),
+    Feature("words", (3, 6, 12), ((0.15, 0.15, 0.25, 0.45), (0.5, 0.2, 0.15, 0.15), (0.2, 0.2, 0.25, 0.35), (0.25, 0.2, 0.2, 0.35), (0.15, 0.2, 0.25, 0.4), (0.2, 0.25, 0.3, 0.25)), False),
+    Feature("short lines in a row", (1, 6, 12), ((0.75, 0.17, 0.05, 0.03), (0.3, 0.2, 0.2, 0.3), (0.6, 0.1, 0.1, 0.2), (0.6, 0.1, 0.1, 0.2), (0.5, 0.1, 0.15, 0.25), (0.5, 0.1, 0.15, 0.25)), False),
+    Feature("disguised words", (0.15,), ((0.995, 0.005), (0.97, 0.03), (0.9, 0.1), (0.6, 0.4), (0.9, 0.1), (0.97, 0.03))),
+    Feature("bread crumbs", (2,), ((0.998, 0.002), (0.98, 0.02), (0.98, 0.02), (0.98, 0.02), (0.98, 0.02), (0.05, 0.95)), False),
+    Feature("marks of code", (0.06, 0.12), ((0.75, 0.1, 0.15), (0.85, 0.13, 0.02), (0.95, 0.04, 0.01), (0.95, 0.04, 0.01), (0.93, 0.06, 0.01), (0.88, 0.1, 0.02)), False),
+)
+START = np.array([0.6, 0.08, 0.08, 0.08, 0.08, 0.08])
+STAY = 0.85
+
+
+def words_of(text: str) -> list[str]:
+    """The words of a text in lower case; of scripts without blanks, pairs of characters."""
+    out = []
+    for run in _WORD.findall(text.lower()):
+        if run.isascii() or not _WIDE.search(run):
+            out.append(run)
+            continue
+        at = 0
+        for m in _WIDE_RUN.finditer(run):
+            if m.start() > at:
+                out.append(run[at : m.start()])
+            wide = m[0]
+            out += [wide[i : i + 2] for i in range(len(wide) - 1)] or [wide]
+            at = m.end()
+        if at < len(run):
+            out.append(run[at:])
+    return out
 
 
 def lines_of(text: str) -> list[str]:
-    """The non-blank lines of a text; very long ones are cut after sentences."""
+    """The non-blank lines of a text; long ones are cut after anchors and sentences, or else at blanks."""
     out = []
-    for line in text.splitlines():
+    for line in _ANCHOR_END.sub(r"\1\n", text).splitlines():
         line = line.strip()
         if not line:
             continue
@@ -169,6 +113,16 @@ def lines_of(text: str) -> list[str]:
             continue
         piece = ""
         for part in _CUT.split(line):
+            start = 0
+            while len(part) - start > 2 * _MOST_LINE:
+                if piece:
+                    out.append(piece)
+                    piece = ""
+                at = part.rfind(" ", start + 1, start + _MOST_LINE)
+                at = start + _MOST_LINE if at < 0 else at
+                out.append(part[start:at].strip())
+                start = at
+            part = part[start:].strip()
             if piece and len(piece) + len(part) > _MOST_LINE:
                 out.append(piece)
                 piece = ""
@@ -177,38 +131,185 @@ def lines_of(text: str) -> list[str]:
     return [x for x in out if x]
 
 
-def label_text(text: str | None) -> list[tuple[str, int]]:
-    """``(line, state)`` of the lines of a text."""
-    if not text:
-        return []
-    page = Page(text)
-    if not page.lines:
-        return []
-    return list(zip(page.lines, label([observe(line, page) for line in page.lines]), strict=True))
+def observe(lines: list[str]) -> np.ndarray:
+    """The values of all features of the lines of a page, a row per line."""
+    rest, linked, words = [], [], []
+    for line in lines:
+        low, n = line, 0
+        if "." in line or "<" in line or "](" in line:
+            low, n = _LINK.subn(" ", line)
+        rest.append(low)
+        linked.append((len(line) - len(low) + n) / len(line) if n else 0.0)
+        words.append(words_of(low))
+    # a long line that stands on the page again and again is counted once
+    counts: Counter[str] = Counter()
+    seen: set[str] = set()
+    for line, line_words in zip(rest, words, strict=True):
+        if len(line_words) < 8 or line not in seen:
+            seen.add(line)
+            counts.update(line_words)
+    whole = sum(counts.values())
+    often = 3 + 0.012 * whole
+    out = np.empty((len(lines), len(FEATURES)), np.int8)
+    short: list[bool] = []
+    for i, (line, w) in enumerate(zip(rest, words, strict=True)):
+        n = len(w)
+        letters = sum(map(len, w))
+        ascii_or_spaced = line.isascii() or not _WIDE.search(line)
+        tags = line.count("#") and len(_TAG.findall(line))
+        repeated = sum(len(x) for x in w if counts[x] >= often and (len(x) > 3 or not ascii_or_spaced)) / letters if letters else None
+        stops = len(_STOP.findall(line))
+        disguised, commas, marks = 0.0, len(_COMMA.findall(line)), len(_SEPARATOR.findall(line))
+        leading = max((counts[x] for x in w if len(x) > 3 or not ascii_or_spaced), default=0) / whole if whole >= 30 else None
+        if n:
+            spaced = sum(len(m) for m in _SPACED.findall(line)) if " " in line else 0
+            disguised = spaced / len(line) + len(_LEET.findall(line)) / n
+        crumbs = len(_CRUMB.findall(line))
+        code = max(0, len(_CODE.findall(line)) - crumbs - 2 * len(_COUNTED.findall(line))) / max(1, len(line) - line.count(" "))
+        short.append(n <= 5 and not stops and (code < 0.06 or linked[i] > 0))
+        values = (
+            linked[i], tags / (n or 1) if tags else 0.0, marks / (n or 1) if marks > 1 or n <= 5 else 0.0, commas / (n or 1) if commas > 1 else 0.0, repeated, leading, len(set(w)) / n if n >= 8 else None, n / stops if stops else np.inf,
+            sum(len(x) <= 3 for x in w) / n if n >= 4 and ascii_or_spaced and disguised < 0.15 else None, n, 0, disguised, crumbs, code if linked[i] < 0.3 else None,
+        )
+        out[i] = [f.value(x) for f, x in zip(FEATURES, values, strict=True)]
+    at = next(k for k, f in enumerate(FEATURES) if f.name == "short lines in a row")
+    run = 0
+    for i, is_short in enumerate([*short, False]):
+        if is_short:
+            run += 1
+        elif run:
+            out[i - run : i, at] = FEATURES[at].value(run)
+            run = 0
+    return out
+
+
+# ---- the model
+
+_LENGTH = next(k for k, f in enumerate(FEATURES) if f.name == "words")
+LONG = 1.5
+
+
+@dataclass(frozen=True)
+class Model:
+    """Logarithms: ``start`` by state, ``move`` from state to state, ``emit`` by feature, state and value."""
+
+    start: np.ndarray
+    move: np.ndarray
+    emit: tuple[np.ndarray, ...]
+
+    def scores(self, seen: np.ndarray) -> np.ndarray:
+        """The log likelihood of each line under each state; a long line stands for more than one."""
+        total = sum(np.where(seen[:, k : k + 1] < 0, 0.0, e[:, seen[:, k]].T) for k, e in enumerate(self.emit))
+        return total * np.where(seen[:, _LENGTH] == len(FEATURES[_LENGTH].edges), LONG, 1.0)[:, None]
+
+
+def _logs(p) -> np.ndarray:
+    p = np.asarray(p, float) + 1e-3
+    return np.log(p / p.sum(-1, keepdims=True))
+
+
+def prior() -> Model:
+    k = len(STATES)
+    return Model(_logs(START), _logs(np.full((k, k), (1 - STAY) / (k - 1)) + np.eye(k) * (STAY - (1 - STAY) / (k - 1))), tuple(_logs(f.prior) for f in FEATURES))
+
+
+def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
+    top = x.max(axis, keepdims=True)
+    return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis))
+
+
+def fit(pages: list[np.ndarray], rounds: int = 5, weight: float = 300.0) -> Model:
+    """The model fitted to the lines of pages without labels (Baum-Welch); the prior counts as ``weight`` lines of each state."""
+    first = model = prior()
+    for _ in range(rounds):
+        start = np.exp(first.start) * weight / 10
+        move = np.exp(first.move) * weight
+        emit = [np.exp(e) * weight for e in first.emit]
+        for seen in pages:
+            score = model.scores(seen)
+            n = len(seen)
+            ahead = np.empty_like(score)
+            ahead[0] = model.start + score[0]
+            for t in range(1, n):
+                ahead[t] = _log_sum(ahead[t - 1][:, None] + model.move, 0) + score[t]
+            back = np.zeros_like(score)
+            for t in range(n - 2, -1, -1):
+                back[t] = _log_sum(model.move + (score[t + 1] + back[t + 1])[None, :], 1)
+            whole = _log_sum(ahead[-1], 0)
+            share = np.exp(ahead + back - whole)
+            start += share[0]
+            if n > 1:
+                move += np.exp(ahead[:-1, :, None] + model.move[None] + (score[1:] + back[1:])[:, None, :] - whole).sum(0)
+            for k, e in enumerate(emit):
+                has = seen[:, k] >= 0
+                for s in range(len(STATES)):
+                    e[s] += np.bincount(seen[has, k], weights=share[has, s], minlength=e.shape[1])
+        model = Model(_logs(start / start.sum()), _logs(move / move.sum(1, keepdims=True)), tuple(_logs(e / e.sum(1, keepdims=True)) if f.fitted else given for f, e, given in zip(FEATURES, emit, first.emit, strict=True)))
+    return model
+
+
+def label(seen: np.ndarray, model: Model) -> np.ndarray:
+    """The likeliest states of a page's lines (Viterbi)."""
+    score = model.scores(seen)
+    if len(score) == 1:
+        return np.argmax(model.start + score, 1)
+    best, back = model.start + score[0], np.empty((len(score) - 1, len(STATES)), np.int8)
+    for t in range(1, len(score)):
+        step = best[:, None] + model.move
+        back[t - 1] = step.argmax(0)
+        best = step.max(0) + score[t]
+    out = np.empty(len(score), np.int64)
+    out[-1] = best.argmax()
+    for t in range(len(score) - 2, -1, -1):
+        out[t] = back[t][out[t + 1]]
+    return out
+
+
+def label_text(text: str | None, model: Model) -> list[tuple[str, int]]:
+    """``(line, label)`` of the lines of a text; labels are indexes of :data:`LABELS`."""
+    lines = lines_of(text or "")
+    return list(zip(lines, LABEL_OF[label(observe(lines), model)].tolist(), strict=True)) if lines else []
+
+
+#: Pages that a model is fitted on, the longest of them, and the seed of their choice.
+SAMPLE_PAGES, SAMPLE_CHARS = 1000, 20_000
+
+
+def fitted(df: DataFrame, id_col: str, text_col: str, pages: int = SAMPLE_PAGES, longest: int = SAMPLE_CHARS) -> Model:
+    """The model for a corpus: fitted on ``pages`` of its texts, those of the least hash of id and text among the texts of
+    at most ``longest`` characters (the bound of what reaches the driver).  An empty corpus gives the prior."""
+    text = F.col(text_col)
+    some = df.select(text.alias("t"), F.xxhash64(F.col(id_col), text).alias("h")).where((F.length(text) <= longest) & (F.trim(text) != ""))
+    seen = [observe(lines) for r in some.orderBy("h").limit(pages).collect() if (lines := lines_of(r.t))]
+    return fit(seen)
 
 
 SHARES = "id bigint, n_lines int, prose double, link_list double, tag_list double, menu double, spam boolean"
 
 
-def page_shares(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5) -> DataFrame:
+def page_shares(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.5, model: Model | None = None) -> DataFrame:
     """``(id, n_lines, prose, link_list, tag_list, menu, spam)``: the shares of a text's characters in lines of each label.
 
-    Lines are labelled jointly by a hidden Markov model over what is seen of them (function words, links, separators,
-    repetition), so that a heading among sentences is prose and a bare word among tags is a tag.  ``spam`` where more than
-    ``threshold`` of the characters of its lines are not prose.  Each text is labelled in the task that read it; nothing
-    is shuffled.  Null, empty and blank texts have no lines, shares of 0 and are no spam.  Copies get equal rows; ids may be
-    null; other columns are not read; an empty table gives no rows.
+    Lines are labelled jointly by a hidden Markov model over what is seen of them (links, separators, repetition, the form of
+    sentences), so that a heading among sentences is prose and a bare word among tags is a tag.  ``spam`` where more than
+    ``threshold`` of the characters of its lines are not prose.  ``model`` is fitted to ``df`` if none is given (:func:`fitted`, one
+    more scan).  Each text is labelled in the task that read it; nothing is shuffled.  Null, empty and blank texts have no lines,
+    shares of 0 and are no spam.  Copies get equal rows; ids may be null; other columns are not read; an empty table gives
+    no rows.
     """
+    model = model or fitted(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            shares = np.zeros((4, len(texts)))
+            shares = np.zeros((len(LABELS), len(texts)))
             n_lines = np.zeros(len(texts), np.int32)
             for i, text in enumerate(texts):
-                for line, state in label_text(text):
-                    shares[state, i] += len(line)
-                    n_lines[i] += 1
+                lines = lines_of(text) if text else []
+                if lines:
+                    state = LABEL_OF[label(observe(lines), model)]
+                    shares[:, i] = np.bincount(state, weights=[len(x) for x in lines], minlength=len(LABELS))
+                    n_lines[i] = len(lines)
             total = shares.sum(0)
             shares /= np.maximum(total, 1)
             spam = (total > 0) & (shares[1:].sum(0) > threshold)

@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -187,15 +188,70 @@ def test_labels(spark):
     assert spam.page_shares(df.limit(0), "id", "t").count() == 0
 
 
+def random_page(r, n):
+    return np.array([[r.randrange(-1, len(f.edges) + 1) for f in spam.FEATURES] for _ in range(n)], np.int8)
+
+
 def test_viterbi_is_the_best_path():
     from itertools import product
 
     r = random.Random(3)
-    for _ in range(20):
-        symbols = [r.randrange(8) for _ in range(5)]
+    model = spam.prior()
+    for _ in range(10):
+        seen = random_page(r, 4)
+        score = model.scores(seen)
+
+        def total(path, score=score):
+            return model.start[path[0]] + sum(score[t, s] for t, s in enumerate(path)) + sum(model.move[a, b] for a, b in zip(path, path[1:], strict=False))
+
+        got = spam.label(seen, model)
+        assert total(got) == pytest.approx(max(total(p) for p in product(range(len(spam.STATES)), repeat=4)))
+
+
+def test_fitting_makes_pages_likelier():
+    """Baum-Welch without prior weight never makes what was seen less likely."""
+    r = random.Random(5)
+    pages = [random_page(r, r.randint(1, 6)) for _ in range(40)]
+
+    def likelihood(model):
+        total = 0.0
+        for seen in pages:
+            score = model.scores(seen)
+            ahead = model.start + score[0]
+            for t in range(1, len(seen)):
+                ahead = spam._log_sum(ahead[:, None] + model.move, 0) + score[t]
+            total += spam._log_sum(ahead, 0)
+        return total
+
+    steps = [likelihood(spam.fit(pages, rounds=k, weight=1e-6)) for k in range(5)]
+    assert all(b >= a - 0.5 for a, b in zip(steps, steps[1:], strict=False)) and steps[-1] > steps[0]
+    assert all((a == b).all() for f, a, b in zip(spam.FEATURES, spam.prior().emit, spam.fit(pages).emit, strict=True) if not f.fitted)
+
+
+# Two lines of plain prose in languages the model was never shown, source code, data and verse.
+PLAIN = {
+    "Chinese": "今天的天气很好，我们一起去公园散步，看到了许多美丽的花朵。\n晚上回家以后，妈妈做了一顿丰盛的晚餐，大家都很高兴。",
+    "Russian": "Вчера мы ходили в старый музей, где увидели много интересных картин.\nПотом дети захотели мороженого, и мы зашли в маленькое кафе у реки.",
+    "Polish": "Wczoraj poszliśmy do starego muzeum, gdzie zobaczyliśmy wiele ciekawych obrazów.\nPotem dzieci chciały lodów, więc wstąpiliśmy do małej kawiarni nad rzeką.",
+    "Korean": "어제 우리는 오래된 박물관에 가서 흥미로운 그림을 많이 보았다.\n그 후 아이들이 아이스크림을 먹고 싶어 해서 강가의 작은 카페에 들렀다.",
+    "Arabic": "ذهبنا أمس إلى المتحف القديم حيث رأينا العديد من اللوحات المثيرة للاهتمام.\nثم أراد الأطفال المثلجات فدخلنا إلى مقهى صغير بجانب النهر.",
+    "Italian": "Ieri siamo andati al vecchio museo, dove abbiamo visto molti quadri interessanti.\nPoi i bambini volevano il gelato e siamo entrati in un piccolo bar sul fiume.",
+    "Thai": "เมื่อวานนี้เราไปพิพิธภัณฑ์เก่าและได้เห็นภาพวาดที่น่าสนใจมากมาย\nหลังจากนั้นเด็กๆ อยากกินไอศกรีม เราจึงแวะร้านกาแฟเล็กๆ ริมแม่น้ำ",
+    "code": "import os\nimport sys\n\ndef main(path):\n    total = 0\n    for name in os.listdir(path):\n        size = os.path.getsize(os.path.join(path, name))\n        total += size\n    return total\n",
+    "data": '{"name": "alpha", "items": [{"id": 1, "title": "First"}, {"id": 2, "title": "Second"}],\n "status": "open", "owner": {"name": "bo", "mail": "bo@x.org"}}',
+    "verse": "A lamp is lit\nbeside the quiet water.\n\nThe boats come home\nwithout a sound\nand wait for morning\nat the gate.",
+}
+STUFFED = {
+    "one line": "Buy the cheap shoes and the best shoes for the running shoes because the shoes are the best cheap shoes. " * 6,
+    "lines": "Buy the cheap shoes and the best shoes for the running shoes if you need shoes.\nThe best running shoes are the cheap shoes that you can buy with other shoes.\n"
+    "For the cheap running shoes you should buy the best shoes in the shoes shop.\n" * 3,
+}
 
-        def score(path, symbols=symbols):
-            s = spam._START[path[0]] + spam._EMISSION[path[0], symbols[0]]
-            return s + sum(spam._TRANSITION[a, b] + spam._EMISSION[b, x] for a, b, x in zip(path, path[1:], symbols[1:], strict=False))
 
-        assert score(spam.label(symbols)) == pytest.approx(max(score(p) for p in product(range(4), repeat=5)))
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_no_language_is_spam_and_stuffed_sentences_are(spark):
+    """With a model fitted to a corpus of other languages."""
+    model = spam.fitted(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), "doc_id", "text")
+    share = lambda t: (lambda x: sum(len(line) for line, label in x if label) / sum(len(line) for line, _ in x))(spam.label_text(t, model))
+    assert {k: share(v) for k, v in PLAIN.items() if share(v) > 0.5} == {}
+    assert {k: share(v) for k, v in STUFFED.items() if share(v) <= 0.5} == {}
