@@ -208,6 +208,14 @@ def whole_json(text: Column) -> Column:
     return F.when((F.size(pair) == 2) & (last == "\u0001 end"), F.try_element_at(pair, F.lit(1)))
 
 
+def whole_json_field(text: Column, name: str) -> Column:
+    """A field of the object that the whole text is, as text; null where the text is no object, goes on after it or lacks the field.
+    One pass that reads the field alone, cheaper than :func:`whole_json`."""
+    kind = T.ArrayType(T.StructType([T.StructField(name, T.StringType())]))
+    pair = F.from_json(F.concat(F.lit("["), text, F.lit(f',{{"{name}":"{_END}"}}]')), kind)
+    return F.when((F.size(pair) == 2) & (F.try_element_at(pair, F.lit(2))[name] == "\u0001 end"), F.try_element_at(pair, F.lit(1))[name])
+
+
 def json_at(doc: Column, path: str) -> Column:
     """The value at a dotted path of a JSON text, as text; null where it is missing or the text is no JSON."""
     return F.get_json_object(doc, "$" + "".join(f"['{n}']" if not n.isdecimal() else f"[{n}]" for n in parse_path(path)))

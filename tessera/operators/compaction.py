@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.nested import whole_json
+from tessera.functions.nested import whole_json_field
 from tessera.staging import discard, folder_bytes, stage
 
 
@@ -97,7 +97,8 @@ def compact(files: DataFrame, name: str, body: str, records, path: str, capacity
     3. Names are packed into bins by first-fit decreasing (:func:`assign_bins`).
     4. ``records(df)`` turns the binned rows (all columns of ``files`` and ``bin``) into rows to be stored, with ``bin`` among
        the columns; each bin is written by one task as one file, ``FILES_PER_FOLDER`` files to a folder.
-    5. What was written is read again: rows and checksum must equal those of a second computation from the frozen table.
+    5. What was written is read again: rows and checksum must equal those of the staged rows, names and checksums of the manifest
+       those of the frozen table.
     6. The commit is one small file written last (:func:`opened` asks for it), so it does not depend on a rename.
 
     Null bodies have size 0.  An empty table commits an empty folder.  A body above the capacity gets a file of its own.
@@ -112,7 +113,7 @@ def compact(files: DataFrame, name: str, body: str, records, path: str, capacity
     manifest = stage(assign_bins(listed, "name", "n_bytes", room), "manifest")
     n_bins = (manifest.agg(F.max("bin")).first()[0] or 0) + 1
     binned = frozen.join(manifest.select(F.col("name").alias(name), "bin"), name)
-    rows = records(binned)
+    rows = stage(records(binned), "rows")
     columns = [c for c in rows.columns if c != "bin"]
     for chunk in range(-(-n_bins // FILES_PER_FOLDER)):
         first = chunk * FILES_PER_FOLDER
@@ -130,7 +131,7 @@ def compact(files: DataFrame, name: str, body: str, records, path: str, capacity
     if tuple(kept) != tuple(listed_n):
         raise RuntimeError("the manifest does not cover the frozen files, each once")
     _create(spark, f"{path}/_committed", json.dumps({"rows": got[0], "files": kept[0], "bins": n_bins}))
-    discard(frozen, manifest)
+    discard(frozen, manifest, rows)
     return opened(spark, path, manifest.schema)
 
 
@@ -175,7 +176,7 @@ def log_records(binned: DataFrame, session: str, file_path: str, kind: str, body
     """
     keep = [F.col("bin"), F.col(session).alias("session_id"), F.col(file_path).alias("file_path"), F.col(kind).alias("kind")]
     logs = binned.where(F.col(kind) == "log").select(*keep, file_id.alias("__file"), F.posexplode(json_lines(F.col(body))).alias("line", "body"))
-    record = F.try_variant_get(whole_json(F.col("body")), "$.record_id", "string")
+    record = whole_json_field(F.col("body"), "record_id")
     logs = logs.withColumn("record_id", record)
     whole = logs.where("record_id is not null")
     payload = F.min(F.struct("__file", "line", "bin", "file_path", "kind", "body")).alias("r")

@@ -45,6 +45,7 @@ def parse(text: str | None):
 #: The field of a list element that is no object.  No name is spelled like it, as names are escaped.
 VALUE = "\\"
 _SPECIAL = re.compile(r"[\\./]")
+_FIRST = frozenset("-0123456789tfnNI[{\"")
 _LAST_STEP = re.compile(r"(?:[^\\/]|\\.)*\Z", re.DOTALL)
 _AMBIGUOUS = re.compile(r'-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?|true|false|null|NaN|-?Infinity|[\["{].*', re.DOTALL)
 
@@ -71,7 +72,7 @@ def walk(record: dict, lists: frozenset[str]) -> Iterator[tuple[str, str, int, d
         def put(name: str, value, fields=fields, texts=texts) -> None:
             if value is None or isinstance(value, str):
                 fields[name] = value
-                if value and _AMBIGUOUS.fullmatch(value):
+                if value and value[0] in _FIRST and _AMBIGUOUS.fullmatch(value):
                     texts.append(name)
             else:
                 fields[name] = json.dumps(value, ensure_ascii=False)

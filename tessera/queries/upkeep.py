@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.catalog import query, table
-from tessera.functions.nested import whole_json
+from tessera.functions.nested import whole_json_field
 from tessera.functions.paths import path_below, plain_path
 from tessera.operators import compaction, diff, hotkeys, shred
 from tessera.staging import new_path, stage
@@ -66,7 +66,7 @@ LISTS = ("turns", "artifacts")
 def current_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(session_id, manifest_id, manifest)``: the complete manifest written last of each session."""
     saved = table(spark, sf_dir, "session_manifests")
-    named = saved.select(F.try_variant_get(whole_json(F.col("manifest")), "$.session_id", "string").alias("session_id"), "written_at", "manifest_id").where("session_id is not null")
+    named = saved.select(whole_json_field(F.col("manifest"), "session_id").alias("session_id"), "written_at", "manifest_id").where("session_id is not null")
     # the newest are chosen by ids alone: no manifest is shuffled that is not needed
     newest = stage(diff.latest(named, ["session_id"], ["written_at", "manifest_id"]).select("session_id", "manifest_id"), "newest")
     return saved.select("manifest_id", "manifest").join(newest, "manifest_id")
