@@ -33,11 +33,12 @@ _TAG = re.compile(r"(?<!\w)#\w+")
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ _]+){3,}[^\W_](?![^\W_])")
 _LEET = re.compile(r"\b[^\W\d_]+\d+[^\W\d_]\w*\b")
 #: Ends of sentences of many scripts.
-_STOP = re.compile(r"(?<=\w\w)[.!?…؟۔।॥։።]+[\"'”’»)\]]*(?=\s+[^\W\d]|\s*$)|[。！？]+[」』]*")
+_STOP = re.compile(r"[.!?…؟۔।॥։።。！？](?:(?<=[。！？])[。！？」』]*|(?<=\w\w.)[.!?…\"'”’»)\]]*(?=\s+[^\W\d]|\s*$))")
 _CRUMB = re.compile(r"\s(?:>|›|»|::)\s")
-_COMMA = re.compile(r"[,;、，；]")
-_SEPARATOR = re.compile(r"[|·•*/]|\(\d+\)| [-–—] ")
-_CODE = re.compile(r"[()\[\]{}<>=_\\+&\"`]")
+_COMMAS = ",;、，；"
+_SEPARATORS = ("|", "·", "•", "*", "/", " - ", " – ", " — ")
+_CODE = "()[]{}<>=_\\+&\"`"
+_DIGIT_INSIDE = re.compile(r"[0-9][^\W\d_]")
 _CUT = re.compile(r"(?<=\w\w[.!?])\s+(?=[^\W\d])|(?<=[。！？])")
 _ANCHOR_END = re.compile(r"(</a>(?:\s*<br\s*/?>)?)", re.IGNORECASE)
 _COUNTED = re.compile(r"\(\d+\)")
@@ -55,10 +56,8 @@ class Feature:
     #: What defines a state is not fitted: else a state could come to mean something else.
     fitted: bool = True
 
-    def value(self, x: float | None) -> int:
-        if x is None:
-            return -1
-        return sum(x >= e for e in self.edges)
+    def values(self, x: np.ndarray) -> np.ndarray:
+        return np.where(np.isnan(x), -1, np.searchsorted(self.edges, x, "right")).astype(np.int8)
 
 
 # The prior, by state: prose, links, tags, keywords, items, crumbs.
@@ -131,61 +130,84 @@ def lines_of(text: str) -> list[str]:
     return [x for x in out if x]
 
 
-def observe(lines: list[str]) -> np.ndarray:
-    """The values of all features of the lines of a page, a row per line."""
-    rest, linked, words = [], [], []
+def measure(lines: list[str]) -> list[tuple]:
+    """The features of the lines of a page, before they are cut into values; nan where a line does not have one."""
+    rest, linked, words, wide = [], [], [], []
     for line in lines:
         low, n = line, 0
-        if "." in line or "<" in line or "](" in line:
+        if "/" in line or "<" in line or "](" in line or "www." in line:
             low, n = _LINK.subn(" ", line)
         rest.append(low)
         linked.append((len(line) - len(low) + n) / len(line) if n else 0.0)
         words.append(words_of(low))
+        wide.append(not low.isascii() and _WIDE.search(low) is not None)
     # a long line that stands on the page again and again is counted once
     counts: Counter[str] = Counter()
     seen: set[str] = set()
-    for line, line_words in zip(rest, words, strict=True):
-        if len(line_words) < 8 or line not in seen:
+    for line, w in zip(rest, words, strict=True):
+        if len(w) < 8 or line not in seen:
             seen.add(line)
-            counts.update(line_words)
+            counts.update(w)
     whole = sum(counts.values())
     often = 3 + 0.012 * whole
-    out = np.empty((len(lines), len(FEATURES)), np.int8)
-    short: list[bool] = []
-    for i, (line, w) in enumerate(zip(rest, words, strict=True)):
+    out = []
+    run = 0
+    for line, w, link, is_wide in zip(rest, words, linked, wide, strict=True):
         n = len(w)
-        letters = sum(map(len, w))
-        ascii_or_spaced = line.isascii() or not _WIDE.search(line)
-        tags = line.count("#") and len(_TAG.findall(line))
-        repeated = sum(len(x) for x in w if counts[x] >= often and (len(x) > 3 or not ascii_or_spaced)) / letters if letters else None
+        letters = repeated = leading = small = single = 0
+        for x in w:
+            k = len(x)
+            letters += k
+            if k > 3 or is_wide:
+                c = counts[x]
+                if c >= often:
+                    repeated += k
+                if c > leading:
+                    leading = c
+            else:
+                small += 1
+                single += k == 1
         stops = len(_STOP.findall(line))
-        disguised, commas, marks = 0.0, len(_COMMA.findall(line)), len(_SEPARATOR.findall(line))
-        leading = max((counts[x] for x in w if len(x) > 3 or not ascii_or_spaced), default=0) / whole if whole >= 30 else None
-        if n:
-            spaced = sum(len(m) for m in _SPACED.findall(line)) if " " in line else 0
-            disguised = spaced / len(line) + len(_LEET.findall(line)) / n
-        crumbs = len(_CRUMB.findall(line))
-        code = max(0, len(_CODE.findall(line)) - crumbs - 2 * len(_COUNTED.findall(line))) / max(1, len(line) - line.count(" "))
-        short.append(n <= 5 and not stops and (code < 0.06 or linked[i] > 0))
-        values = (
-            linked[i], tags / (n or 1) if tags else 0.0, marks / (n or 1) if marks > 1 or n <= 5 else 0.0, commas / (n or 1) if commas > 1 else 0.0, repeated, leading, len(set(w)) / n if n >= 8 else None, n / stops if stops else np.inf,
-            sum(len(x) <= 3 for x in w) / n if n >= 4 and ascii_or_spaced and disguised < 0.15 else None, n, 0, disguised, crumbs, code if linked[i] < 0.3 else None,
-        )
-        out[i] = [f.value(x) for f, x in zip(FEATURES, values, strict=True)]
-    at = next(k for k, f in enumerate(FEATURES) if f.name == "short lines in a row")
-    run = 0
-    for i, is_short in enumerate([*short, False]):
-        if is_short:
-            run += 1
-        elif run:
-            out[i - run : i, at] = FEATURES[at].value(run)
-            run = 0
+        tags = len(_TAG.findall(line)) if "#" in line else 0
+        counted = len(_COUNTED.findall(line)) if "(" in line else 0
+        marks = sum(map(line.count, _SEPARATORS)) + counted
+        commas = sum(map(line.count, _COMMAS))
+        crumbs = len(_CRUMB.findall(line)) if ">" in line or "::" in line or "›" in line or "»" in line else 0
+        code = max(0, sum(map(line.count, _CODE)) - crumbs - 2 * counted) / max(1, len(line) - line.count(" "))
+        disguised = 0.0
+        if single >= 4 and " " in line:
+            disguised = sum(map(len, _SPACED.findall(line))) / len(line)
+        if n and _DIGIT_INSIDE.search(line):
+            disguised += len(_LEET.findall(line)) / n
+        run = run + 1 if n <= 5 and not stops and (code < 0.06 or link > 0) else 0
+        if run > 1:
+            for back in range(2, run + 1) if run in _RUNS else ():
+                out[-back + 1][_RUN] = run
+        out.append([
+            link, tags / (n or 1), marks / (n or 1) if marks > 1 or n <= 5 else 0.0, commas / (n or 1) if commas > 1 else 0.0, repeated / letters if letters else _NAN,
+            leading / whole if whole >= 30 else _NAN, len(set(w)) / n if n >= 8 else _NAN, n / stops if stops else np.inf, small / n if n >= 4 and not is_wide and disguised < 0.15 else _NAN,
+            n, run and max(run, out[-1][_RUN] if run > 1 else 0), disguised, crumbs, code if link < 0.3 else _NAN,
+        ])
     return out
 
 
+_NAN = float("nan")
+_LENGTH, _RUN = (next(k for k, f in enumerate(FEATURES) if f.name == name) for name in ("words", "short lines in a row"))
+_RUNS = frozenset(FEATURES[_RUN].edges)
+
+
+def cut(measured: list[tuple]) -> np.ndarray:
+    """The values of all features, a row per line."""
+    x = np.array(measured, float).reshape(-1, len(FEATURES))
+    return np.stack([f.values(x[:, k]) for k, f in enumerate(FEATURES)], 1)
+
+
+def observe(lines: list[str]) -> np.ndarray:
+    return cut(measure(lines))
+
+
 # ---- the model
 
-_LENGTH = next(k for k, f in enumerate(FEATURES) if f.name == "words")
 LONG = 1.5
 
 
@@ -249,19 +271,32 @@ def fit(pages: list[np.ndarray], rounds: int = 5, weight: float = 300.0) -> Mode
 
 
 def label(seen: np.ndarray, model: Model) -> np.ndarray:
-    """The likeliest states of a page's lines (Viterbi)."""
+    """The likeliest states of a page's lines."""
+    return label_pages(seen, np.array([len(seen)]), model)
+
+
+def label_pages(seen: np.ndarray, sizes: np.ndarray, model: Model) -> np.ndarray:
+    """The likeliest states of the lines of many pages (Viterbi), a step for all pages at a time; ``sizes`` are their lines, none 0."""
     score = model.scores(seen)
-    if len(score) == 1:
-        return np.argmax(model.start + score, 1)
-    best, back = model.start + score[0], np.empty((len(score) - 1, len(STATES)), np.int8)
-    for t in range(1, len(score)):
-        step = best[:, None] + model.move
-        back[t - 1] = step.argmax(0)
-        best = step.max(0) + score[t]
-    out = np.empty(len(score), np.int64)
-    out[-1] = best.argmax()
-    for t in range(len(score) - 2, -1, -1):
-        out[t] = back[t][out[t + 1]]
+    order = np.argsort(-sizes, kind="stable")
+    start, size = (np.cumsum(sizes) - sizes)[order], sizes[order]
+    best = model.start + score[start]
+    back = np.zeros(score.shape, np.int8)
+    most = int(size[0]) if len(size) else 0
+    left = np.searchsorted(-size, -np.arange(most + 1), "left")  # pages of more than t lines
+    for t in range(1, most):
+        n = left[t]
+        step = best[:n, :, None] + model.move
+        at = start[:n] + t
+        back[at] = step.argmax(1)
+        best[:n] = step.max(1) + score[at]
+    out = np.zeros(len(score), np.int64)
+    state = best.argmax(1)
+    for t in range(most - 1, -1, -1):
+        n = left[t]
+        at = start[:n] + t
+        out[at] = state[:n]
+        state[:n] = back[at, state[:n]]
     return out
 
 
@@ -279,9 +314,11 @@ def fitted(df: DataFrame, id_col: str, text_col: str, pages: int = SAMPLE_PAGES,
     """The model for a corpus: fitted on ``pages`` of its texts, those of the least hash of id and text among the texts of
     at most ``longest`` characters (the bound of what reaches the driver).  An empty corpus gives the prior."""
     text = F.col(text_col)
-    some = df.select(text.alias("t"), F.xxhash64(F.col(id_col), text).alias("h")).where((F.length(text) <= longest) & (F.trim(text) != ""))
-    seen = [observe(lines) for r in some.orderBy("h").limit(pages).collect() if (lines := lines_of(r.t))]
-    return fit(seen)
+    some = df.select(text.alias("t"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), text), 1).alias("h")).where((F.length(text) <= longest) & (F.trim(text) != ""))
+    # a share of the rows that makes up a few more than are wanted, so that a task sends few
+    share = min(1.0, 1.5 * pages / max(1, df.count()))
+    chosen = sorted((r.h, r.t) for r in some.where(F.col("h") <= int(share * (2**63 - 1))).collect())[:pages]
+    return fit([observe(lines) for _, t in chosen if (lines := lines_of(t))])
 
 
 SHARES = "id bigint, n_lines int, prose double, link_list double, tag_list double, menu double, spam boolean"
@@ -302,14 +339,13 @@ def page_shares(df: DataFrame, id_col: str, text_col: str, threshold: float = 0.
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            shares = np.zeros((len(LABELS), len(texts)))
-            n_lines = np.zeros(len(texts), np.int32)
-            for i, text in enumerate(texts):
-                lines = lines_of(text) if text else []
-                if lines:
-                    state = LABEL_OF[label(observe(lines), model)]
-                    shares[:, i] = np.bincount(state, weights=[len(x) for x in lines], minlength=len(LABELS))
-                    n_lines[i] = len(lines)
+            pages = [lines_of(text) if text else [] for text in texts]
+            n_lines = np.array([len(lines) for lines in pages], np.int32)
+            owner = np.repeat(np.arange(len(texts)), n_lines)
+            seen = cut([row for lines in pages for row in measure(lines)])
+            state = LABEL_OF[label_pages(seen, n_lines[n_lines > 0], model)]
+            length = np.array([len(line) for lines in pages for line in lines], float)
+            shares = np.bincount(state * len(texts) + owner, weights=length, minlength=len(LABELS) * len(texts)).reshape(len(LABELS), len(texts))
             total = shares.sum(0)
             shares /= np.maximum(total, 1)
             spam = (total > 0) & (shares[1:].sum(0) > threshold)
