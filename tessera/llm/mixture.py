@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,7 +22,9 @@ class Mixture:
     """``copies``: ``(id, source, n_tokens, copies)`` of the documents used at least once.
 
     ``report``: a row per target: ``source, target_share, max_repeats, source_tokens, rate`` (copies per document), ``mixed_tokens,
-    actual_share`` (of the mixture) and ``short`` (even ``max_repeats`` times its content is less than its share of the total)."""
+    actual_share`` (of the mixture), ``missed`` (target less actual share), ``short`` (even ``max_repeats`` times its content is less than
+    its share of the total), ``wanted_total`` (tokens the mixture was to have), ``reachable_total`` (the most at which no source
+    is short) and ``offset`` (the random offset)."""
 
     copies: DataFrame
     report: DataFrame
@@ -31,12 +34,13 @@ class Mixture:
         return self.copies.select("id", "source", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
 
 
-def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame, offset: float = 0.5, vocabulary: str = VOCABULARY) -> Mixture:
+def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, targets: DataFrame, seed: int = 42, within_reach: bool = False, vocabulary: str = VOCABULARY) -> Mixture:
     """Copies of documents such that each source of ``targets`` ``(source, target_share, max_repeats)`` has its share.
 
-    The size of the mixture is that of all texts.  A source's documents are expected ``rate`` times each, the target's tokens
+    The size of the mixture is that of all texts or, with ``within_reach``, the largest up to it at which every source can give its
+    share, so that all targets hold.  A source's documents are expected ``rate`` times each, the target's tokens
     over the source's, at most ``max_repeats``.  Systematic sampling: with the prefix sums of the expected copies in a fixed order
-    within the source and one offset, a document is emitted once per integer its interval crosses, which is ``rate`` rounded up
+    within the source and one random offset, drawn once from ``seed``, a document is emitted once per integer its interval crosses, which is ``rate`` rounded up
     or down; so no document is used more than ``max_repeats`` times.
 
     The prefix sum has two levels, so that a source with a third of all rows is no single task: rows are ranked
@@ -44,7 +48,7 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, targets: Dat
     the splits if an executor is lost.
 
     Documents of a null or unlisted source count in the total only; null and empty texts have no tokens and are not used.
-    ``offset`` is the random offset in [0, 1).  Repeated targets are an error; an empty table gives zero shares.
+    Repeated targets are an error; an empty table gives zero shares.
     """
     target = targets.select(source_key(F.col("source")).alias("source"), F.col("target_share").cast("double").alias("target_share"), F.col("max_repeats").cast("bigint").alias("max_repeats"))
     target = stage(target.where("source is not null"), "targets")
@@ -55,11 +59,15 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, targets: Dat
     per_split = stage(sized.groupBy("source", "split").agg(F.count(F.when(F.col("n_tokens") > 0, 1)).alias("n"), F.sum("n_tokens").alias("tokens")), "splits")
     total = per_split.agg(F.sum("tokens")).first()[0] or 0
     own = per_split.groupBy("source").agg(F.sum("tokens").alias("source_tokens"))
-    wanted = F.col("target_share") * F.lit(float(total))
+    offset = random.Random(seed).random()
     plan = target.join(own, "source", "left").withColumn("source_tokens", F.coalesce("source_tokens", F.lit(0).cast("bigint")))
+    most = F.col("source_tokens") * F.col("max_repeats")
+    reach = plan.where("target_share > 0").agg(F.min(most / F.col("target_share"))).first()[0] or 0.0
+    size = min(float(total), reach) if within_reach else float(total)
+    wanted = F.col("target_share") * F.lit(size)
     plan = stage(
         plan.withColumn("rate", F.coalesce(F.least(F.try_divide(wanted, F.col("source_tokens")), F.col("max_repeats").cast("double")), F.lit(0.0))).withColumn(
-            "short", F.col("source_tokens") * F.col("max_repeats") < wanted
+            "short", most < F.col("target_share") * F.lit(float(total))
         ),
         "plan",
     )
@@ -76,5 +84,6 @@ def mix(df: DataFrame, id_col: str, text_col: str, source_col: str, targets: Dat
     whole = mixed.agg(F.sum("mixed_tokens")).first()[0] or 0
     report = plan.join(mixed, "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0).cast("bigint")))
     share = F.coalesce(F.try_divide(F.col("mixed_tokens"), F.lit(float(whole))), F.lit(0.0))
-    names = ["source", "target_share", "max_repeats", "source_tokens", "rate", "mixed_tokens", "actual_share", "short"]
-    return Mixture(used, report.withColumn("actual_share", share).select(*names))
+    names = ["source", "target_share", "max_repeats", "source_tokens", "rate", "mixed_tokens", "actual_share"]
+    told = [(F.col("target_share") - F.col("actual_share")).alias("missed"), "short", F.lit(size).alias("wanted_total"), F.lit(float(reach)).alias("reachable_total"), F.lit(offset).alias("offset")]
+    return Mixture(used, report.withColumn("actual_share", share).select(*names, *told))

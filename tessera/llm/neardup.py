@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.packing64 import U, mix, pack, ranges, unpack
 from tessera.llm.shingles import BITS, shingle_sets, slices
 from tessera.operators.components import connected_components
-from tessera.staging import bucket_bits, discard, stage
+from tessera.staging import bucket_bits, discard, release, stage
 
 DOC_BITS, KIND_BITS = 18, 3
 SIG_BITS = 64 - DOC_BITS - KIND_BITS
@@ -654,7 +654,9 @@ def _allocated(rows: DataFrame, scheme: Scheme, bits: tuple[int, int], asked: Da
         looking = rows.join(asked, "id", "left").select("id", "salt", "text", F.coalesce("most", F.lit(-1)).alias("most"))
     index = looking.mapInArrow(_index_rows(scheme, bits[0]), BLOCKS)
     matched = _exchanged(index, bits, _cut_index).applyInArrow(_match_bucket(scheme, bits), BLOCKS)
-    return stage(_exchanged(matched, bits, _cut_matched).applyInArrow(_decide(scheme, asked is None), "kind tinyint, a bigint, b bigint, c bigint"), "nd-decided")
+    out = stage(_exchanged(matched, bits, _cut_matched).applyInArrow(_decide(scheme, asked is None), "kind tinyint, a bigint, b bigint, c bigint"), "nd-decided")
+    release(rows.sparkSession)
+    return out
 
 
 def _rest(rows: DataFrame, bad: DataFrame, taken: DataFrame, deputy: DataFrame, scheme: Scheme) -> DataFrame:

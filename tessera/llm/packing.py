@@ -15,18 +15,56 @@ from tessera.llm.tokens import VOCABULARY, encoder
 ITEMS = 1 << 16
 
 
-def best_fit(sizes: list[int], capacities: tuple[int, ...], opened: int) -> tuple[list[int], list[int]]:
+class Left:
+    """The items that are still to be placed, by size: one bit per size that is there."""
+
+    def __init__(self, sizes: list[int]):
+        self.count: dict[int, int] = {}
+        self.bits = 0
+        for size in sizes:
+            self.count[size] = self.count.get(size, 0) + 1
+            self.bits |= 1 << size
+
+    def take(self, size: int) -> None:
+        self.count[size] -= 1
+        if not self.count[size]:
+            self.bits &= ~(1 << size)
+
+    def fill(self, room: int, most: int = 12) -> int:
+        """How much of a room the items would fill, the largest that fits first."""
+        used: dict[int, int] = {}
+        filled = 0
+        for _ in range(most):
+            fits = self.bits & ((1 << (room - filled + 1)) - 1)
+            while fits:
+                size = fits.bit_length() - 1
+                if used.get(size, 0) < self.count[size]:
+                    break
+                fits &= ~(1 << size)
+            if not fits:
+                break
+            used[size] = used.get(size, 0) + 1
+            filled += size
+        return filled
+
+
+def best_fit(sizes: list[int], capacities: tuple[int, ...], opened: int | None) -> tuple[list[int], list[int]]:
     """Bins of items given from the largest down: ``(bin of each item, content of each bin)``.
 
-    An item goes to the open bin with the least room that holds it.  Where none does, a bin of the least permitted capacity from
-    ``opened`` up that holds the item is opened.  Rooms are found with one bit per room in an integer.
+    An item goes to the open bin with the least room that holds it.  Where none does, a bin is opened: of the least permitted
+    capacity from ``opened`` up that holds the item, or, without ``opened``, of the capacity that costs least.  The cost of a
+    capacity is the places a token takes once the bin is cut down to what the items left would fill it with.  Rooms are found
+    with one bit per room in an integer.
     """
     rooms: list[list[int]] = [[] for _ in range(capacities[-1] + 1)]
     free = 0
     content: list[int] = []
     room_of: list[int] = []
     out: list[int] = []
+    left = Left(sizes) if opened is None else None
     for size in sizes:
+        if left:
+            left.take(size)
         fits = free >> size
         if fits:
             room = size + (fits & -fits).bit_length() - 1
@@ -37,7 +75,15 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...], opened: int) -> tupl
             b = len(content)
             content.append(0)
             room_of.append(0)
-            room = capacities[max(bisect_left(capacities, size), bisect_left(capacities, opened))]
+            if left:
+                best = None
+                for c in capacities[bisect_left(capacities, size) :]:
+                    total = size + left.fill(c - size)
+                    cost = capacities[bisect_left(capacities, total)] / total
+                    if best is None or cost <= best:
+                        best, room = cost, c
+            else:
+                room = capacities[max(bisect_left(capacities, size), bisect_left(capacities, opened))]
         content[b] += size
         room -= size
         room_of[b] = room
@@ -49,14 +95,15 @@ def best_fit(sizes: list[int], capacities: tuple[int, ...], opened: int) -> tupl
 
 
 def pack(sizes: np.ndarray, capacities: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """``(bin of each item, capacity of each bin)``: of all bin sizes to open, that with the least unused space in the end.
+    """``(bin of each item, capacity of each bin)``: a capacity chosen at each opening, or one for all openings where that leaves less
+    unused space in the end.
 
     Each bin ends with the least permitted capacity that holds its content.  Items above the largest capacity are an error.
     """
     order = np.argsort(-sizes, kind="stable")
     given = sizes[order].tolist()
     best = None
-    for opened in capacities[::-1]:
+    for opened in (None, *capacities[::-1]):
         bins, content = best_fit(given, capacities, opened)
         capacity = np.array(capacities)[np.searchsorted(capacities, content)]
         if best is None or capacity.sum() < best[2].sum():

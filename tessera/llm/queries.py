@@ -62,16 +62,19 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins, tokens and unused places by capacity."""
+    """Bins, tokens and unused places by capacity; the last row, with a null capacity, is for all, and says how many of the largest bins
+    would be needed at least."""
     bins = p7_placed(spark, sf_dir).where("bin is not null").groupBy("bin", "capacity").agg(F.sum("n_tokens").alias("n"))
-    return bins.groupBy("capacity").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_tokens"), F.sum(F.col("capacity") - F.col("n")).alias("n_unused"))
+    out = bins.rollup("capacity").agg(F.count("*").alias("n_bins"), F.sum("n").alias("n_tokens"), F.sum(F.col("capacity") - F.col("n")).alias("n_unused"))
+    least = F.when(F.col("capacity").isNull(), F.ceil(F.col("n_tokens") / CAPACITIES[-1]))
+    return out.select("capacity", "n_bins", "n_tokens", "n_unused", (F.col("n_unused") / (F.col("n_tokens") + F.col("n_unused"))).alias("unused_share"), least.alias("least_bins"))
 
 
 # ---- mixture
 
 
-def _mixture(spark: SparkSession, sf_dir: str) -> mixture.Mixture:
-    return mixture.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"))
+def _mixture(spark: SparkSession, sf_dir: str, within_reach: bool = False) -> mixture.Mixture:
+    return mixture.mix(table(spark, sf_dir, "documents"), "doc_id", "text", "source", table(spark, sf_dir, "mix_targets"), within_reach=within_reach)
 
 
 def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +82,11 @@ def p8_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir).report
 
 
+def p8_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets and the shares reached by the largest mixture in which no source is short."""
+    return _mixture(spark, sf_dir, within_reach=True).report
+
+
 def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every use of a document."""
     return _mixture(spark, sf_dir).rows().withColumnRenamed("id", "doc_id")
@@ -101,7 +109,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_groups, p3_found, p3_pieces, p7_found, p7_placed, p7_filling, p8_found, p8_report, p8_mixture, p9_found, p9_shares)
+    found = (p1_found, p1_groups, p3_found, p3_pieces, p7_found, p7_placed, p7_filling, p8_found, p8_report, p8_reachable, p8_mixture, p9_found, p9_shares)
     return {f.__name__: f for f in found}
 
 

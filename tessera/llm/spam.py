@@ -317,7 +317,8 @@ def fitted(df: DataFrame, id_col: str, text_col: str, pages: int = SAMPLE_PAGES,
     some = df.select(text.alias("t"), F.shiftrightunsigned(F.xxhash64(F.col(id_col), text), 1).alias("h")).where((F.length(text) <= longest) & (F.trim(text) != ""))
     # a share of the rows that makes up a few more than are wanted, so that a task sends few
     share = min(1.0, 1.5 * pages / max(1, df.count()))
-    chosen = sorted((r.h, r.t) for r in some.where(F.col("h") <= int(share * (2**63 - 1))).collect())[:pages]
+    most = min(int(share * 2**63), 2**63 - 1)
+    chosen = sorted((r.h, r.t) for r in some.where(F.col("h") <= most).collect())[:pages]
     return fit([observe(lines) for _, t in chosen if (lines := lines_of(t))])
 
 

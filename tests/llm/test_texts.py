@@ -96,6 +96,26 @@ def test_best_fit_is_tight():
     assert sizes.sum() / capacity.sum() > 0.99
 
 
+def test_each_opening_chooses_its_size():
+    """Pairs that fill 512 and triples that fill 1,024 exactly: no single size to open fits both."""
+    sizes = np.array([500] * 20 + [12] * 20 + [900] * 10 + [100] * 10 + [24] * 10, np.int64)
+    bins, content = packing.best_fit(np.sort(sizes)[::-1].tolist(), (512, 1024, 2048, 4096), None)
+    cut = np.array((512, 1024, 2048, 4096))[np.searchsorted((512, 1024, 2048, 4096), content)]
+    assert cut.sum() == sizes.sum() and len(bins) == len(sizes)
+    left = packing.Left([5, 5, 3])
+    assert (left.fill(10), left.fill(9), left.fill(2), left.fill(20)) == (10, 8, 0, 13)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_filling_is_near_the_bound(spark):
+    from tessera.llm import queries
+
+    whole = next(r for r in queries.p7_filling(spark, "/root/testdata/sf0.01").collect() if r.capacity is None)
+    assert whole.unused_share < 0.02
+    placed = queries.p7_placed(spark, "/root/testdata/sf0.01").agg({"n_tokens": "sum"}).first()[0]
+    assert whole.n_tokens == placed and whole.least_bins == -(-placed // 4096)
+
+
 def test_pack_texts(spark):
     rows = [(1, None), (2, ""), (3, "a few words"), (3, "a few words"), (None, "no id"), (4, "word " * 9000), (5, " ")] + [(i, "some words " * (i % 300)) for i in range(10, 200)]
     df = spark.createDataFrame(rows, "id bigint, t string").selectExpr("id", "t", "7 as bin", "8 as at", "9 as capacity").repartition(3)
@@ -147,6 +167,17 @@ def test_mixture(spark):
     assert abs(big.mixed_tokens / (big.target_share * sum(len(tokens.encoder().encode_ordinary(t or "")) for _, t, _ in rows)) - 1) < 0.03
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_all_targets_hold_within_reach(spark):
+    from tessera.llm import queries
+
+    report = queries.p8_reachable(spark, "/root/testdata/sf0.1").collect()
+    assert all(abs(r.missed) < 0.01 for r in report) and any(r.short for r in report)
+    assert {r.offset for r in report} == {random.Random(42).random()} and all(r.wanted_total == pytest.approx(r.reachable_total) for r in report)
+    full = queries.p8_report(spark, "/root/testdata/sf0.1").collect()
+    assert all(r.missed > 0 for r in full if r.short) and all(r.wanted_total > r.reachable_total for r in full)
+
+
 def test_mixture_of_nothing(spark):
     docs = spark.createDataFrame([], "id bigint, t string, s string")
     m = mixture.mix(docs, "id", "t", "s", sources(spark, [("a", 1.0, 2)]))
