@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.nested import whole_json_field
-from tessera.staging import discard, folder_bytes, stage
+from tessera.staging import discard, folder_bytes, release, stage
 
 
 def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -65,7 +65,10 @@ def assign_bins(files: DataFrame, name: str, size: str, capacity: int, bins_per_
     # a row per task: its bins stand after those of the tasks before it
     used = packed.groupBy("__task").agg((F.max("__local") + 1).alias("n"))
     base = F.coalesce(F.sum("n").over(Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return packed.join(used.select("__task", base.alias("__base")), "__task").withColumn("bin", F.col("__base") + F.col("__local")).drop("__task", "__local", "__base")
+    numbered = packed.join(used.select("__task", base.alias("__base")), "__task").withColumn("bin", F.col("__base") + F.col("__local")).drop("__task", "__local", "__base")
+    out = stage(numbered, "bins")
+    discard(packed)
+    return out
 
 
 @dataclass(frozen=True)
@@ -110,10 +113,13 @@ def compact(files: DataFrame, name: str, body: str, records, path: str, capacity
     plain = listed.agg(F.sum("n_bytes")).first()[0] or 0
     packed = folder_bytes(frozen)
     room = max(capacity, int(FILL * capacity * plain / packed)) if packed else capacity
-    manifest = stage(assign_bins(listed, "name", "n_bytes", room), "manifest")
+    manifest = assign_bins(listed, "name", "n_bytes", room)
     n_bins = (manifest.agg(F.max("bin")).first()[0] or 0) + 1
     binned = frozen.join(manifest.select(F.col("name").alias(name), "bin"), name)
     rows = stage(records(binned), "rows")
+    whole = tuple(frozen.agg(F.count("*"), checksum(F.col(name), F.xxhash64(F.col(body)))).first())
+    discard(frozen)
+    release(spark)
     columns = [c for c in rows.columns if c != "bin"]
     for chunk in range(-(-n_bins // FILES_PER_FOLDER)):
         first = chunk * FILES_PER_FOLDER
@@ -127,11 +133,11 @@ def compact(files: DataFrame, name: str, body: str, records, path: str, capacity
     wanted, got = summary(rows), summary(written)
     if wanted != got:
         raise RuntimeError(f"what was written differs from its source: {got} for {wanted}")
-    kept, listed_n = spark.read.parquet(f"{path}/manifest").agg(F.count("*"), checksum("name", "hash")).first(), frozen.agg(F.count("*"), checksum(F.col(name), F.xxhash64(F.col(body)))).first()
-    if tuple(kept) != tuple(listed_n):
+    kept = tuple(spark.read.parquet(f"{path}/manifest").agg(F.count("*"), checksum("name", "hash")).first())
+    if kept != whole:
         raise RuntimeError("the manifest does not cover the frozen files, each once")
     _create(spark, f"{path}/_committed", json.dumps({"rows": got[0], "files": kept[0], "bins": n_bins}))
-    discard(frozen, manifest, rows)
+    discard(manifest, rows)
     return opened(spark, path, manifest.schema)
 
 

@@ -51,6 +51,12 @@ def discard(*staged: DataFrame) -> None:
             at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the executors delete shuffle files that no plan refers to any more, as those behind a staged table: Spark does so when
+    the driver collects garbage, which on a large heap is rarely."""
+    spark._jvm.System.gc()
+
+
 def folder_bytes(staged: DataFrame) -> int:
     """What a staged table takes up."""
     at = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
