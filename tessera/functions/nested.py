@@ -218,6 +218,12 @@ def whole_json_field(text: Column, name: str) -> Column:
 
 def json_at(doc: Column, path: str) -> Column:
     """The value at a dotted path of a JSON text, as text; null where it is missing or the text is no JSON."""
+    if "'" in path:  # which a path expression cannot spell
+        value = F.try_parse_json(doc)
+        for name in parse_path(path):
+            inside = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(name))
+            value = F.coalesce(inside, F.try_element_at(F.try_variant_get(value, "$", "array<variant>"), F.lit(int(name) + 1))) if name.isdecimal() else inside
+        return F.coalesce(F.try_variant_get(value, "$", "string"), F.when(~F.is_variant_null(value), F.to_json(value)))
     return F.get_json_object(doc, "$" + "".join(f"['{n}']" if not n.isdecimal() else f"[{n}]" for n in parse_path(path)))
 
 
@@ -229,15 +235,16 @@ def json_matches(doc: Column, filters: dict[str, object]) -> Column:
     test = F.lit(True)
     value = F.try_parse_json(doc)
     for key, wanted in filters.items():
-        at = "$" + f"['{key}']"
+        # by a map, as a path expression cannot spell every key
+        at_key = F.try_element_at(F.try_variant_get(value, "$", "map<string,variant>"), F.lit(key))
         if isinstance(wanted, (list, tuple, set)):
-            held = F.try_variant_get(value, at, "array<variant>")
+            held = F.try_variant_get(at_key, "$", "array<variant>")
             one = F.lit(True)
             for w in wanted:
                 one = one & F.exists(held, _equals(w))
             test = test & F.coalesce(held.isNotNull() & one, F.lit(False))
         else:
-            test = test & F.coalesce(_variant_equals(F.try_variant_get(value, at, "variant"), wanted), F.lit(False))
+            test = test & F.coalesce(_variant_equals(at_key, wanted), F.lit(False))
     return test
 
 
@@ -251,6 +258,10 @@ def _variant_equals(v: Column, wanted: object) -> Column:
         return kind == "VOID"
     if isinstance(wanted, str):
         return (kind == "STRING") & (F.try_variant_get(v, "$", "string") == wanted)
+    if isinstance(wanted, int) and not isinstance(wanted, bool):
+        # whole numbers as such: a double holds them up to 2**53 only
+        exact = F.try_variant_get(v, "$", "decimal(38,9)")
+        return (kind != "STRING") & F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("int") == wanted).otherwise(exact == F.lit(wanted).cast("decimal(38,9)"))
     number = F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).otherwise(F.try_variant_get(v, "$", "double"))
     return (kind != "STRING") & (number == float(wanted))
 

@@ -45,9 +45,9 @@ def stems(words: Column) -> Column:
     """The Porter stems of an array of lower-case words.  Words of one or two letters, and those that are not all ``a`` to ``z``,
     stay as they are."""
     # one pass over the array per step: within a pass a word is bound once, so the expression stays small
-    for step in (_plurals, _participles, _final_y, _replaced(_STEP_2, _M0), _replaced(_STEP_3, _M0), _stripped, _final_e):
-        words = F.transform(words, lambda w, f=step: F.when(w.rlike("^[a-z]{3,}$"), f(w)).otherwise(w))
-    return words
+    only_words = lambda step: lambda w: F.when(w.rlike("^[a-z]{3,}$"), step(w)).otherwise(w)
+    steps = _plurals, _participles, _final_y, _replaced(_STEP_2, _M0), _replaced(_STEP_3, _M0), _stripped, _final_e
+    return reduce(lambda all_words, step: F.transform(all_words, only_words(step)), steps, words)
 
 
 def stem_word(word: Column) -> Column:

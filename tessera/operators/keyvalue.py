@@ -23,7 +23,7 @@ class KeyValue:
         return KeyValue(latest(named, ["namespace", "key"], order).select("namespace", "key", "value"))
 
     def _in(self, namespace: str | None) -> DataFrame:
-        return self.rows.where(F.col("namespace") == (namespace or DEFAULT))
+        return self.rows.where(F.col("namespace") == (DEFAULT if namespace is None else namespace))
 
     def get(self, key: str, namespace: str | None = None) -> str | None:
         row = self._in(namespace).where(F.col("key") == key).first()
@@ -34,10 +34,12 @@ class KeyValue:
         wanted = keys.select(F.coalesce("namespace", F.lit(DEFAULT)).alias("namespace"), "key").distinct()
         return self.rows.join(wanted, ["namespace", "key"], "left_semi").where("value is not null")
 
-    def put_many(self, items: DataFrame) -> KeyValue:
-        """Upsert ``(namespace, key, value)``; of a key that is put twice the greater value stays."""
-        new = items.select(F.coalesce("namespace", F.lit(DEFAULT)).alias("namespace"), "key", "value")
-        new = new.groupBy("namespace", "key").agg(F.max("value").alias("value"))
+    def put_many(self, items: DataFrame, order: str | None = None) -> KeyValue:
+        """Upsert ``(namespace, key, value)``; of a key that is put twice the last by ``order`` stays, or, as rows have no order of their
+        own, the greater value."""
+        new = items.select(F.coalesce("namespace", F.lit(DEFAULT)).alias("namespace"), "key", "value", *([F.col(order).alias("__o")] if order else []))
+        last = F.max("value") if order is None else F.max_by("value", F.struct("__o", "value"))
+        new = new.groupBy("namespace", "key").agg(last.alias("value"))
         return KeyValue(self.rows.join(new, ["namespace", "key"], "left_anti").unionByName(new))
 
     def delete(self, keys: DataFrame) -> KeyValue:
@@ -51,7 +53,7 @@ class KeyValue:
         return self._in(namespace).select("key")
 
     def clear(self, namespace: str | None = None) -> KeyValue:
-        return KeyValue(self.rows.where(F.col("namespace") != (namespace or DEFAULT)))
+        return KeyValue(self.rows.where(F.col("namespace") != (DEFAULT if namespace is None else namespace)))
 
     def size(self, namespace: str | None = None) -> int:
         return self._in(namespace).count()

@@ -57,11 +57,11 @@ def greedy_alignment(pairs: DataFrame, source: str, target: str, score: str, blo
     return pairs.groupBy(*block).applyInPandas(run, schema)
 
 
-def edit_distance_join(a: DataFrame, b: DataFrame, left: str, right: str, least: float, first_letter: bool = True) -> DataFrame:
+def edit_distance_join(a: DataFrame, b: DataFrame, left: str, right: str, least: float, first_letter: bool = False) -> DataFrame:
     """``a`` and ``b`` rows whose strings are similar by at least ``least`` (1 - distance / longer length).
 
     Candidates meet in blocks of length bands, which loses no pair (the lengths of a pair differ by at most ``1 - least`` of the
-    longer), and of the first letter with ``first_letter``, which does lose pairs that begin differently.
+    longer); with ``first_letter``, which is for data where that is known to hold, only strings of the same first letter meet.
     """
     import math
 

@@ -36,6 +36,8 @@ def term_overlaps(docs: DataFrame, id_col: str, text: Column, queries: DataFrame
     return shared.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+#: The namespace of documents without one, and what asks for all namespaces.
+DEFAULT, EVERYWHERE = "_default", "*"
 #: Query terms that are broadcast at most; beyond, words are shuffled by term.
 MOST_TERMS = 100_000
 
@@ -77,8 +79,11 @@ def bm25(docs: DataFrame, id_col: str, text: Column, queries: DataFrame, query_i
     post = post if only is None else post.join(only, "id", "left_semi")
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
     scored = post.join(asked, "term").join(weights, "term").groupBy("q", "id").agg(F.sum(part).alias("raw"))
+    # the best are chosen before they are scaled: a task keeps about k rows of a query, whatever its words
+    nearly = F.rank().over(Window.partitionBy("q").orderBy(F.desc("about")))
+    top = scored.withColumn("about", F.round("raw", 6)).withColumn("nearly", nearly).where(F.col("nearly") <= k)
     best = F.max("raw").over(Window.partitionBy("q"))
-    ranked = scored.withColumn("score", F.round(F.when(best > 0, F.col("raw") / best).otherwise(0.0), 9)).where("score > 0")
+    ranked = top.withColumn("score", F.round(F.when(best > 0, F.col("raw") / best).otherwise(0.0), 9)).where("score > 0")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("q").alias("query_id"), "id", "score", "rank")
 
@@ -108,10 +113,13 @@ def filtered(docs: DataFrame, metadata: str, filters: dict[str, object] | None)
 def search(docs: DataFrame, query: str, k: int = 5, mode: str = "overlap", id_col: str = "doc_id", text_col: str = "content", metadata: str | None = None, filters: dict[str, object] | None = None, namespace: str | None = None, stem: bool = True) -> DataFrame:
     """Search one namespace's documents: ``mode`` is ``overlap``, ``plain`` (punctuation kept), ``all`` (every term must occur) or ``bm25``.
 
-    A blank query finds nothing.  Filters and namespace apply before scoring, so that ``k`` rows come if there are ``k``.
+    A blank query finds nothing.  Where ``docs`` has a column ``namespace``, only one is searched: a null one is ``_default``, and no
+    ``namespace`` asks for that; :data:`EVERYWHERE` asks for all, in which documents are told apart by namespace and id.  Filters
+    and namespace apply before scoring, so that ``k`` rows come if there are ``k`` (:func:`search_then_filter` does the other).
     """
-    if namespace is not None:
-        docs = docs.where(F.coalesce("namespace", F.lit("_default")) == namespace)
+    named = "namespace" in docs.columns
+    if named and namespace != EVERYWHERE:
+        docs = docs.where(F.coalesce("namespace", F.lit(DEFAULT)) == (DEFAULT if namespace is None else namespace))
     if metadata:
         docs = filtered(docs, metadata, filters)
     words = _query_terms(docs, query, mode, stem)
@@ -121,12 +129,21 @@ def search(docs: DataFrame, query: str, k: int = 5, mode: str = "overlap", id_co
     if mode in ("overlap", "plain"):
         return term_overlap(docs, id_col, text, words, k, stem and mode == "overlap", punctuation=mode == "plain")
     only = None
+    key = F.struct(F.col(id_col).alias("id"), F.coalesce("namespace", F.lit(DEFAULT)).alias("namespace")) if named else F.struct(F.col(id_col).alias("id"))
+    keyed = docs.withColumn("__key", key)
     if mode == "all":
         every = F.size(F.array_intersect(tokens(text, stem), F.array(*map(F.lit, sorted(set(words)))))) == len(set(words))
-        only = docs.where(every).select(F.col(id_col).alias("id"))
+        only = keyed.where(every).select(F.col("__key").alias("id"))
     asked = docs.sparkSession.createDataFrame([(0, query)], "q int, t string")
-    hits = bm25(docs, id_col, text, asked, "q", F.col("t"), k, stem, epsilon=0.25 if only is None else None, only=only)
-    return docs.join(hits.select(F.col("id").alias(id_col), "score"), id_col).orderBy(F.desc("score"), id_col)
+    hits = bm25(keyed, "__key", text, asked, "q", F.col("t"), k, stem, epsilon=0.25 if only is None else None, only=only)
+    return keyed.join(hits.select(F.col("id").alias("__key"), "score"), "__key").orderBy(F.desc("score"), "__key").drop("__key")
+
+
+def search_then_filter(docs: DataFrame, query: str, k: int, metadata: str, filters: dict[str, object], prefetch: int = 5, **options) -> DataFrame:
+    """:func:`search` for ``prefetch * k`` rows, of which the ``k`` best that pass the filters are kept: the corpus statistics are those of
+    all documents, and fewer than ``k`` rows may come."""
+    found = search(docs, query, prefetch * k, metadata=metadata, **options)
+    return filtered(found, metadata, filters).orderBy(F.desc("score"), options.get("id_col", "doc_id")).limit(k)
 
 
 def _query_terms(docs: DataFrame, query: str, mode: str, stem: bool) -> list[str]:

@@ -181,18 +181,29 @@ def test_search(spark):
         [("n", "d1", "red bolts, shopping", '{"y": 1}'), ("n", "d2", "a red ring", '{"y": 2}'), (None, "d3", "red bolt", None), ("n", "d4", None, '{"y": 1}'), ("n", "d5", "", "{}")],
         "namespace string, doc_id string, content string, meta string",
     )
-    hit = lambda q, **k: [(r.doc_id, round(r.score, 4)) for r in search.search(docs, q, **k).collect()]
-    assert hit("red bolt") == [("d1", 1.0), ("d3", 1.0), ("d2", 0.5)] and hit("red bolt", namespace="n") == [("d1", 1.0), ("d2", 0.5)] and hit("red bolt", namespace="_default") == [("d3", 1.0)]
+    found = lambda q, **k: [(r.doc_id, round(r.score, 4)) for r in search.search(docs, q, **k).collect()]
+    hit = lambda q, **k: found(q, namespace=search.EVERYWHERE, **k)
+    assert hit("red bolt") == [("d1", 1.0), ("d3", 1.0), ("d2", 0.5)] and found("red bolt", namespace="n") == [("d1", 1.0), ("d2", 0.5)]
+    assert found("red bolt", namespace="_default") == found("red bolt") == [("d3", 1.0)] and found("red bolt", namespace="") == []
     assert hit("shop", k=1) == [("d1", 1.0)] and hit("  ") == [] and hit("?!") == [] and hit("red bolts,", mode="plain", stem=False) == [("d1", 1.0), ("d2", 0.5), ("d3", 0.5)]
     assert hit("red", metadata="meta", filters={"y": 2}) == [("d2", 1.0)] and sorted(i for i, _ in hit("red bolt", mode="all")) == ["d1", "d3"]
     bm = hit("ring", mode="bm25")
     assert bm == [("d2", 1.0)]
+    later = search.search_then_filter(docs, "red bolt", 1, "meta", {"y": 2}, prefetch=3, namespace=search.EVERYWHERE)
+    assert [r.doc_id for r in later.collect()] == ["d2"] and search.search_then_filter(docs, "red bolt", 1, "meta", {"y": 2}, prefetch=1, namespace="n").count() == 0
     with pytest.raises(ValueError):
         search.add(docs, docs.limit(1))
     new = spark.createDataFrame([("n", "d2", "new", None), ("n", "d9", "nothing", None)], docs.schema)
     assert search.update(docs, new).where("doc_id = 'd2'").first().content == "new" and search.update(docs, new).count() == 5 and search.remove(docs, new).count() == 4
 
 
+def test_documents_of_two_namespaces_with_one_id(spark):
+    docs = spark.createDataFrame([("a", "1", "red bolt red"), ("b", "1", "red blue bolt"), ("b", "2", "green"), *[("b", f"{i}", f"leaf w{i}") for i in range(3, 9)]], "namespace string, doc_id string, content string")
+    rows = {(r.namespace, r.doc_id): r.score for r in search.search(docs, "red", mode="bm25", namespace=search.EVERYWHERE).collect()}
+    assert rows[("a", "1")] == 1.0 and 0 < rows[("b", "1")] < 1
+    assert [(r.namespace, r.doc_id) for r in search.search(docs, "red", mode="bm25", namespace="b").collect()] == [("b", "1")]
+
+
 def test_hybrid(spark):
     v = spark.createDataFrame([(1, 1, 0.8), (1, 2, -0.5)], "query_id int, id int, score double")
     t = spark.createDataFrame([(1, 2, 4.0), (1, 3, 2.0)], "query_id int, id int, score double")
