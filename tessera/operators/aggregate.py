@@ -67,6 +67,16 @@ def grouping_sets(df: DataFrame, sets: list[list[str]], *aggs: Column) -> DataFr
     return df.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys]).agg(*aggs, F.grouping_id().alias("grouping_id"))
 
 
+def cube(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """All subsets of the keys as groupings, with ``grouping_id``."""
+    return df.cube(*keys).agg(*aggs, F.grouping_id().alias("grouping_id"))
+
+
+def rollup(df: DataFrame, keys: list[str], *aggs: Column) -> DataFrame:
+    """The keys, the keys without the last, and so on, as groupings, with ``grouping_id``."""
+    return df.rollup(*keys).agg(*aggs, F.grouping_id().alias("grouping_id"))
+
+
 # ---- confusion
 
 
@@ -144,6 +154,13 @@ def merge_set_maps(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame:
     return flat.groupBy(*by, "key").agg(F.array_sort(F.collect_set("x")).alias("values"))
 
 
+def merge_list_maps(df: DataFrame, column: str, order: str, by: list[str] = ()) -> DataFrame:
+    """Key-wise the lists of a map of arrays one after the other, in ``order``, repeats kept: ``(*by, key, values)``."""
+    flat = df.select(*by, order, F.explode(column)).where("value is not null")
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("value").alias("v"))))
+    return flat.groupBy(*by, "key").agg(parts.alias("p")).select(*by, "key", F.flatten(F.transform("p", lambda x: x["v"])).alias("values"))
+
+
 def groups(df: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """``(key, first, values)``: the values of each key in ``order``; ``first`` is the least order, to sort groups by first occurrence."""
     pairs = F.collect_list(F.struct(F.col(order).alias("o"), F.col(value).alias("v")))

@@ -6,6 +6,8 @@ properties``.  An edge is unique by its ends and type; a self loop counts once i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,8 +62,8 @@ def neighbours(edges: DataFrame, starts: DataFrame, depth: int, src: str = "sour
     layers = [seen]
     for d in range(1, depth + 1):
         step = frontier.join(e, "node").select("start", F.col("next").alias("node")).distinct()
-        for layer in layers:
-            step = step.join(layer.select("start", "node"), ["start", "node"], "left_anti")
+        known = reduce(lambda a, b: a.unionAll(b), [layer.select("start", "node") for layer in layers])
+        step = step.join(known, ["start", "node"], "left_anti")
         frontier = stage(step.withColumn("depth", F.lit(d)), "bfs")
         if frontier.isEmpty():
             break

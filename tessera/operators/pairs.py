@@ -96,6 +96,23 @@ def lookup(queries: DataFrame, table: DataFrame, query: str, key: str, value: st
     return exact.unionByName(best)
 
 
+def theta_join(a: DataFrame, b: DataFrame, left: str, op: str, right: str, also: Column | None = None, ranges: int = 64) -> DataFrame:
+    """Rows of ``a`` and ``b`` with ``left op right`` (``<``, ``<=``, ``>`` or ``>=``) and ``also``; null meets nothing.
+
+    The values of ``right`` are cut into ranges.  A row of ``a`` meets the range its value lies in and those beyond it, so that the
+    rows meet in a join by range, which any number of tasks share, and not in a nested loop.  The result itself may be quadratic.
+    """
+    cuts = sorted(set(b.where(F.col(right).isNotNull()).approxQuantile(right, [k / ranges for k in range(1, ranges)], 0.01)))
+    place = lambda c: F.aggregate(F.array(*map(F.lit, cuts)).cast("array<double>"), F.lit(0), lambda n, x: n + (F.col(c).cast("double") >= x).cast("int"))
+    own = place(left)
+    span = F.sequence(own, F.lit(len(cuts))) if op in ("<", "<=") else F.sequence(F.lit(0), own)
+    test = {"<": F.col(left) < F.col(right), "<=": F.col(left) <= F.col(right), ">": F.col(left) > F.col(right), ">=": F.col(left) >= F.col(right)}[op]
+    x = a.where(F.col(left).isNotNull()).withColumn("__range", F.explode(span))
+    y = b.where(F.col(right).isNotNull()).withColumn("__range", place(right))
+    met = x.join(y, "__range").where(test if also is None else test & also)
+    return met.drop("__range")
+
+
 def product(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     """All pairs of rows with equal keys."""
     return a.join(b, on)

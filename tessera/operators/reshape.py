@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -116,6 +117,21 @@ def overlay(tables: list[DataFrame], keys: list[str]) -> DataFrame:
     return latest(ranked, keys, ["__p"]).drop("__p").select(*tables[0].columns)
 
 
+def table_function(f: Callable, schema: str):
+    """A table function from one that gives the rows of its arguments as tuples."""
+
+    class Rows:
+        def eval(self, *args):
+            yield from f(*args)
+
+    return F.udtf(Rows, returnType=schema)
+
+
+def apply_table_function(df: DataFrame, function, *columns: str) -> DataFrame:
+    """Each row with the rows a table function makes of its columns (a lateral join); rows without any are dropped."""
+    return df.lateralJoin(function(*[F.col(c).outer() for c in columns]))
+
+
 def fold_column(c: Column) -> Column:
     """Array of arrays to array."""
     return F.flatten(c)

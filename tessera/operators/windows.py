@@ -135,6 +135,18 @@ def running(df: DataFrame, value: str, by: list[str], order: list[str], out: str
     return df.withColumn(out, F.sum(value).over(_ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def prefix_sums_2d(df: DataFrame, row: str, column: str, value: str, by: list[str] = (), out: str = "total") -> DataFrame:
+    """The sum of all cells up to a cell's row and column, for a table of cells ``(row, column, value)``; a missing cell has no sum."""
+    keys = [*by, "__m"]
+    cells = df.withColumn("__m", F.lit(0)).groupBy(*keys, row, column).agg(F.sum(value).alias(value))
+    # every column of every row, so that sums go on over missing cells; a row of a matrix is as wide as the matrix
+    wide = cells.groupBy(*keys).agg(F.collect_set(column).alias("__c"))
+    full = cells.select(*keys, row).distinct().join(wide, keys).select(*keys, row, F.explode("__c").alias(column))
+    along, down = Window.partitionBy(*keys, row).orderBy(column), Window.partitionBy(*keys, column).orderBy(row)
+    summed = full.join(cells, [*keys, row, column], "left").withColumn("__s", F.sum(F.coalesce(value, F.lit(0))).over(along))
+    return summed.withColumn(out, F.sum("__s").over(down)).where(F.col(value).isNotNull()).drop("__s", "__m")
+
+
 def global_running(df: DataFrame, value: str, order: str, out: str = "running", parts: int | None = None) -> DataFrame:
     """A running sum over all rows without a single task: range-partitioned prefix sums, shifted by the sums of earlier ranges."""
     from tessera.staging import parallelism, stage

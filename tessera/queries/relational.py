@@ -38,18 +38,15 @@ def _word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.where("word <> ''")
 
 
-@query(_WORD_GROUPS + " HAVING count(*) >= 20")
-def agg_exploded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words of at least 20 documents by language; agg_exploded_keys_all has all words."""
-    return _word_groups(spark, sf_dir).where("n >= 20")
-
-
 @query(_WORD_GROUPS)
-def agg_exploded_keys_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agg_exploded_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language and word: a key that is an array counts a row once per element."""
     return _word_groups(spark, sf_dir)
 
 
+agg_exploded_keys_all = agg_exploded_keys
+
+
 @query(
     """SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, count(*) AS n, grouping_id(l_returnflag, l_linestatus) AS grouping_id
     FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())"""
