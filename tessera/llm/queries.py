@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import chunks, mixture, neardup, packing, spam
+from tessera.staging import stage
 
 DEFAULT_NAMESPACE = "_default"
 
@@ -29,8 +30,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per text that takes part: its class of equal texts, its group and the number of linked classes."""
-    return _near(spark, sf_dir).grouped().withColumnRenamed("id", "row_id")
+    """One row per text that takes part: its class of equal texts and its group, each by its least row_id, and the number of linked
+    classes."""
+    rows = stage(_near(spark, sf_dir).grouped(), "groups")
+    least = lambda c: rows.groupBy(c).agg(F.min("id").alias(f"least_{c}"))
+    named = rows.join(least("class"), "class").join(least("component"), "component")
+    return named.select(F.col("id").alias("row_id"), F.col("least_class").alias("class"), F.col("least_component").alias("component"), "links")
 
 
 # ---- pieces
@@ -43,6 +48,15 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.split_texts(table(spark, sf_dir, "doc_store"), "row_id", "content", PIECE, only_oversized=True).withColumnRenamed("id", "row_id")
 
 
+def p3_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oversized contents put together from their pieces, and whether all pieces keep to the limits."""
+    pieces = p3_pieces(spark, sf_dir)
+    own = F.struct("piece", F.expr("substring(text, overlap + 1)").alias("own"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(own)), lambda x: x["own"]), "").alias("content")
+    within = (F.max(F.char_length("text")) <= PIECE.size) & (F.max("overlap") <= PIECE.overlap) & (F.count("*") == F.max("piece") + 1)
+    return pieces.groupBy("row_id").agg(whole, within.alias("within"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("piece = 1").select("row_id")
 
@@ -109,7 +123,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (p1_found, p1_groups, p3_found, p3_pieces, p7_found, p7_placed, p7_filling, p8_found, p8_report, p8_reachable, p8_mixture, p9_found, p9_shares)
+    found = (p1_found, p1_groups, p3_found, p3_pieces, p3_rebuilt, p7_found, p7_placed, p7_filling, p8_found, p8_report, p8_reachable, p8_mixture, p9_found, p9_shares)
     return {f.__name__: f for f in found}
 
 
@@ -124,6 +138,18 @@ def oracle_sql() -> dict[str, str]:
             u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
             r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
             SELECT a AS row_id_a, b AS row_id_b FROM r WHERE a < b""",
+        "p1_groups": r"""
+            WITH RECURSIVE w AS (SELECT row_id, coalesce(namespace, '_default') AS ns, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM doc_store WHERE content IS NOT NULL),
+            s AS (SELECT row_id, ns, list_sort(list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS g FROM w WHERE len(w) >= 20),
+            k AS (SELECT row_id, ns, g, min(row_id) OVER (PARTITION BY ns, g) AS class FROM s),
+            x AS (SELECT class, ns, len(g) AS n, unnest(g) AS g FROM k WHERE row_id = class),
+            l AS (SELECT a.class AS a, b.class AS b FROM x a JOIN x b ON a.ns = b.ns AND a.g = b.g AND a.class < b.class GROUP BY a.class, b.class
+                HAVING count(*) / (any_value(a.n) + any_value(b.n) - count(*)) >= 0.6),
+            u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+            r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+            c AS (SELECT a AS class, least(a, min(b)) AS component FROM r GROUP BY a), d AS (SELECT a AS class, count(*) AS links FROM u GROUP BY a)
+            SELECT row_id, k.class AS class, coalesce(component, k.class) AS component, coalesce(links, 0) AS links FROM k LEFT JOIN c USING (class) LEFT JOIN d USING (class)""",
+        "p3_rebuilt": f"SELECT row_id, content, true AS within FROM doc_store WHERE length(content) > {PIECE.size}",
         "p3_found": f"SELECT row_id FROM doc_store WHERE length(content) > {PIECE.size}",
         # characters give the same answer as tokens
         "p8_found": """
