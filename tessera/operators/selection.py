@@ -113,7 +113,7 @@ def sample_rows(df: DataFrame, k: int, seed: int = 0) -> DataFrame:
 
 def hash_sample(df: DataFrame, key: str, k: int, seed: int = 0) -> DataFrame:
     """A sample of ``k`` rows that depends on the keys only, not on how the rows lie; ties by key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(k)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(k)
 
 
 def ordered_sample(df: DataFrame, k: int, order: str, must: Column | None = None, seed: int = 0) -> DataFrame:

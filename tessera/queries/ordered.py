@@ -261,7 +261,10 @@ def seq_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _arrays(spark, sf_dir).select("user_id", F.size(v).cast("bigint").alias("n"), arrays.distinct(v).isNotNull().alias("some"), F.element_at(v, 1).alias("first"), F.element_at(v, -1).alias("last"))
 
 
-@query()
+@query(
+    f"""{_ARRAYS}, p AS (SELECT user_id, v, unnest(range(1, len(v) + 1)) AS i FROM a), b AS (SELECT user_id, i, sum(CASE WHEN i > 1 AND v[i] > v[i - 1] THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY i) AS k FROM p),
+    r AS (SELECT user_id, count(*) AS length, min(i) - 1 AS start FROM b GROUP BY user_id, k) SELECT user_id, length, start FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY length DESC, start) = 1"""
+)
 def seq_longest_increasing(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = arrays.longest_increasing_run(F.col("v"))
     return _arrays(spark, sf_dir).select("user_id", run["length"].alias("length"), run["start"].alias("start"))

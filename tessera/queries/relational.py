@@ -231,7 +231,12 @@ def reshape_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.chunks(table(spark, sf_dir, "events").select("user_id", "event_id"), ["event_id"], 7, ["user_id"])
 
 
-@query()
+@query(
+    """WITH RECURSIVE e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+    f(user_id, i, held, chunk) AS (SELECT user_id, i, value, 0 FROM e WHERE i = 1 UNION ALL
+    SELECT e.user_id, e.i, CASE WHEN f.held + e.value > 100 THEN e.value ELSE f.held + e.value END, CASE WHEN f.held + e.value > 100 THEN f.chunk + 1 ELSE f.chunk END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+    SELECT user_id, event_id, value, chunk FROM e JOIN f USING (user_id, i)"""
+)
 def reshape_weighted_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events in chunks of bounded value."""
     return reshape.weighted_chunks(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), ["event_id"], "value", 100.0, ["user_id"])
@@ -264,7 +269,7 @@ def reshape_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.unique_names(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", ["p_partkey"])
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '|0'), o_orderkey LIMIT 100")
 def sample_by_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sample that depends on the keys only."""
     return selection.hash_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 100)
