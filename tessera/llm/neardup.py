@@ -42,6 +42,9 @@ from tessera.staging import bucket_bits, discard, release, stage
 
 DOC_BITS, KIND_BITS = 18, 3
 SIG_BITS = 64 - DOC_BITS - KIND_BITS
+#: Bits of a signature that travel.  Those of its bucket come on top, so that unequal signatures of 10**13 entries in 2**15 buckets
+#: agree by chance in one of a hundred; a chance agreement costs a comparison and never a link.
+SIG_KEPT = 35
 #: Kinds of signature entries: whole subset of one shingle, of more, subset lacking one; +3 when taken in the next smaller band.
 WHOLE1, WHOLE2, LACKING, LOWER = 0, 1, 2, 3
 
@@ -141,7 +144,6 @@ def _index_rows(scheme: Scheme, bits: int):
     """Rows ``(id, salt, text, most)`` to packed blocks of signatures (kind 1) and of members (kind 0), in ``1 << bits`` buckets.
 
     ``most`` is the cost up to which a set looks for partners; below 0 it is only found by others."""
-    low_mask = U((1 << (DOC_BITS + KIND_BITS)) - 1)
 
     def flush(docs: list, entries: list) -> pa.RecordBatch:
         ids, cls, check, n, own, low, most = (np.concatenate(x) for x in zip(*docs, strict=True))
@@ -155,7 +157,7 @@ def _index_rows(scheme: Scheme, bits: int):
         for b, o in _by_part(_bucket(cls, bits), 1 << bits):
             add(b, 0, pack(ids[o], cls[o], check[o], n[o], own[o], low[o]))
         sig, place = (np.concatenate(x) for x in zip(*entries, strict=True))
-        code = (sig & ~low_mask) | place
+        code = (sig >> U(64 - SIG_KEPT) << U(64 - SIG_KEPT)) | place
         mask = U(((1 << DOC_BITS) - 1) << KIND_BITS)
         for b, o in _by_part(_bucket(sig, bits), 1 << bits):
             c = code[o]
