@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +66,37 @@ def batches_back(end: Column, num_days: int, size: int | str = "monthly") -> Col
 def week_range(date: Column, end: str, weeks: int = 1) -> Column:
     """How many ranges of ``weeks`` weeks a date lies before ``end`` (0: in the last range); negative after it."""
     return F.floor(F.datediff(F.lit(end).cast("date"), date) / (7 * weeks)).cast("bigint")
+
+
+_FIELDS = {"year": "y", "month": "M", "day": "d", "hour": "H", "minute": "m", "second": "s"}
+
+
+def format_down_to(granularity: str, fmt: str) -> str:
+    """A format without the fields finer than the granularity, and without the separators that are left over."""
+    names = list(_FIELDS)
+    finer = "".join(_FIELDS[f] for f in names[names.index(granularity) + 1 :])
+    kept = [part for part in re.findall(r"([yMdHms])\1*|[^yMdHms]+", fmt)]
+    tokens = [m[0] for m in re.finditer(r"([yMdHms])\1*|[^yMdHms]+", fmt)]
+    out: list[str] = []
+    for token, letter in zip(tokens, kept, strict=True):
+        if letter and letter in finer:
+            continue
+        if not letter and (not out or not _is_field(out[-1])):
+            continue
+        out.append(token)
+    while out and not _is_field(out[-1]):
+        out.pop()
+    return "".join(out)
+
+
+def _is_field(token: str) -> bool:
+    return token[0] in "yMdHms"
+
+
+def now_text(fmt: str = "yyyyMMddHHmmss") -> Column:
+    """The time the query started, as text."""
+    return F.date_format(F.current_timestamp(), fmt)
+
+
+def today_text(fmt: str = "yyyyMMdd") -> Column:
+    return F.date_format(F.current_date(), fmt)

@@ -165,6 +165,40 @@ def tree_levels(nodes: DataFrame, node: str, parent: str, most: int = 64) -> Dat
     raise RuntimeError(f"deeper than {most}")
 
 
+def tree_paths(nodes: DataFrame, node: str, parent: str, most: int = 64) -> DataFrame:
+    """``(node, depth, path)`` of a forest: ``path`` holds the nodes from the root down.  Rows in the order of ``path`` are in preorder
+    (depth first, siblings by id); nodes in a cycle are left out."""
+    n = stage(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent")), "tree")
+    level = stage(n.where("parent is null").select("node", F.lit(0).alias("depth"), F.array("node").alias("path")), "tree")
+    out = level
+    for d in range(1, most):
+        below = n.join(level.select(F.col("node").alias("parent"), "path"), "parent")
+        level = stage(below.select("node", F.lit(d).alias("depth"), F.array_append("path", F.col("node")).alias("path")), "tree")
+        if level.isEmpty():
+            return out
+        out = out.unionByName(level)
+    raise RuntimeError(f"deeper than {most}")
+
+
+def acyclic_order(edges: DataFrame, src: str = "source_id", dst: str = "target_id", most: int = 1000) -> DataFrame:
+    """``(node, rank)``: the length of the longest path to each node of an acyclic graph, so that every edge leads to a greater rank.
+    Nodes without incoming edges have rank 0; a cycle is an error."""
+    e = stage(edges.select(F.col(src).alias("s"), F.col(dst).alias("t")).where("s is not null and t is not null").distinct(), "dag")
+    left = stage(e.select(F.col("s").alias("node")).union(e.select("t")).distinct(), "dag")
+    out, rank = [], 0
+    while not left.isEmpty():
+        waiting = e.join(left.select(F.col("node").alias("s")), "s", "left_semi").select(F.col("t").alias("node")).distinct()
+        ready = stage(left.join(waiting, "node", "left_anti").withColumn("rank", F.lit(rank)), "dag")
+        if ready.isEmpty() or rank > most:
+            raise ValueError("the graph has a cycle" if ready.isEmpty() else f"more than {most} ranks")
+        out.append(ready)
+        left = stage(left.join(ready, "node", "left_anti"), "dag")
+        rank += 1
+    if not out:
+        return left.withColumn("rank", F.lit(0))
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 def subtree_sums(nodes: DataFrame, node: str, parent: str, value: str) -> DataFrame:
     """``(node, total)``: each node's value and those below it, from the leaves up."""
     levels = stage(tree_levels(nodes, node, parent).join(nodes.select(F.col(node).alias("node"), F.col(parent).alias("parent"), F.col(value).cast("double").alias("v")), "node"), "tree")

@@ -174,3 +174,28 @@ def dated_paths(spark: SparkSession, template: str, start: str, end: str) -> Dat
 def first_existing(dated: DataFrame, there: DataFrame, forward: bool = True) -> DataFrame:
     """The first dated path that exists, walking from the first date (or back from the last)."""
     return dated.join(there.select("path"), "path", "left_semi").orderBy(F.asc("date") if forward else F.desc("date")).limit(1)
+
+
+# ---- session logs
+
+
+def turn_entries(turns: DataFrame, files: DataFrame, session: str = "session_id", turn: str = "turn_number", log_file: str = "log_file", path: str = "path", body: str = "body") -> DataFrame:
+    """``(session, turn, line, entry)``: the entries of the log file that each turn names, in their order in the file; a turn without
+    a file gives none, and a line that is no whole JSON value is left out."""
+    named = turns.select(F.col(session).alias("session"), F.col(turn).alias("turn"), F.col(log_file).alias("__path"))
+    held = files.select(F.col(session).alias("session"), F.col(path).alias("__path"), F.col(body).alias("__body"))
+    return _entries(named.join(held, ["session", "__path"]), ["session", "turn"])
+
+
+def cross_turn_entries(sessions: DataFrame, files: DataFrame, session: str = "session_id", log_file: str = "session_log_file", path: str = "path", body: str = "body") -> DataFrame:
+    """``(session, turn, line, entry)``: the entries of each session's own log file, of no turn (null)."""
+    named = sessions.select(F.col(session).alias("session"), F.lit(None).cast("bigint").alias("turn"), F.col(log_file).alias("__path"))
+    held = files.select(F.col(session).alias("session"), F.col(path).alias("__path"), F.col(body).alias("__body"))
+    return _entries(named.join(held, ["session", "__path"]), ["session", "turn"])
+
+
+def _entries(rows: DataFrame, keys: list[str]) -> DataFrame:
+    from tessera.functions.nested import whole_json
+
+    lines = rows.select(*keys, F.posexplode(F.split("__body", r"\r?\n")).alias("line", "entry")).where(F.trim("entry") != "")
+    return lines.where(whole_json(F.col("entry")).isNotNull())
