@@ -157,7 +157,7 @@ def _index_rows(scheme: Scheme, bits: int):
         for b, o in _by_part(_bucket(cls, bits), 1 << bits):
             add(b, 0, pack(ids[o], cls[o], check[o], n[o], own[o], low[o]))
         sig, place = (np.concatenate(x) for x in zip(*entries, strict=True))
-        code = (sig >> U(64 - SIG_KEPT) << U(64 - SIG_KEPT)) | place
+        code = (sig >> U(64 - SIG_KEPT) << U(DOC_BITS + KIND_BITS)) | place
         mask = U(((1 << DOC_BITS) - 1) << KIND_BITS)
         for b, o in _by_part(_bucket(sig, bits), 1 << bits):
             c = code[o]
@@ -248,7 +248,7 @@ def _cut_index(kind: int, block: bytes, fine: int, bits: int) -> Iterator[tuple[
         return
     code, cls, n, most = arrays
     mask = U(((1 << DOC_BITS) - 1) << KIND_BITS)
-    for sub, o in _by_part((code >> U(64 - fine)).astype(np.int64), 1 << fine):
+    for sub, o in _by_part((code >> U(SIG_KEPT + DOC_BITS + KIND_BITS - fine)).astype(np.int64), 1 << fine):
         used, local = np.unique((code[o] & mask) >> U(KIND_BITS), return_inverse=True)
         used = used.astype(np.int64)
         yield sub, pack(np.sort((code[o] & ~mask) | (local.astype(U) << U(KIND_BITS))), cls[used], n[used], most[used], ascending=1)
