@@ -6,6 +6,7 @@ A staged table survives the loss of executors: nothing that was computed before
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -53,7 +54,8 @@ def discard(*staged: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let the executors delete shuffle files that no plan refers to any more, as those behind a staged table: Spark does so when
-    the driver collects garbage, which on a large heap is rarely."""
+    the driver collects garbage, which on a large heap is rarely.  To be called where the plans' names have gone out of scope."""
+    gc.collect()  # lets go of the Python side's references first
     spark._jvm.System.gc()
 
 
