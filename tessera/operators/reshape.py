@@ -54,8 +54,9 @@ def explode_columns(df: DataFrame, columns: list[str], how: str = "product") ->
 
 def chunks(df: DataFrame, order: list[str], size: int, by: list[str] = ()) -> DataFrame:
     """``df`` with ``chunk``: runs of ``size`` rows."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn("chunk", F.floor((F.row_number().over(w) - 1) / size).cast("bigint"))
+    from tessera.operators.windows import positions
+
+    return positions(df, list(by), order, "chunk").withColumn("chunk", F.floor(F.col("chunk") / size).cast("bigint"))
 
 
 def weighted_chunks(df: DataFrame, order: list[str], weight: str, capacity: float, by: list[str]) -> DataFrame:

@@ -27,9 +27,10 @@ def in_range(df: DataFrame, column: str, start, end, closed_left: bool = True) -
 
 def drop_counted(df: DataFrame, column: str, order: str, counts: DataFrame) -> DataFrame:
     """Multiset difference that keeps order: the first ``n`` rows of each value of ``counts`` ``(value, n)`` are dropped."""
-    w = Window.partitionBy(column).orderBy(order)
-    numbered = df.withColumn("__r", F.row_number().over(w)).join(counts.select(F.col("value").alias(column), F.col("n").alias("__n")), column, "left")
-    return numbered.where(F.col("__r") > F.coalesce("__n", F.lit(0))).select(*df.columns)
+    from tessera.operators.windows import positions
+
+    numbered = positions(df, [column], [order], "__r").join(counts.select(F.col("value").alias(column), F.col("n").alias("__n")), column, "left")
+    return numbered.where(F.col("__r") >= F.coalesce("__n", F.lit(0))).select(*df.columns)
 
 
 def project(df: DataFrame, conversions: str | list[str] | dict[str, str | Callable[[], Column] | Column], **extra: Column) -> DataFrame:

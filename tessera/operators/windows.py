@@ -135,6 +135,25 @@ def running(df: DataFrame, value: str, by: list[str], order: list[str], out: str
     return df.withColumn(out, F.sum(value).over(_ordered(by, order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def positions(df: DataFrame, by: list[str], order: list[str], out: str = "pos") -> DataFrame:
+    """``df`` with each row's place, from 0, in the ``order`` of its group; nulls of ``by`` are a group.
+
+    A ranking window would give a group to one task.  Rows are dealt by ranges of group and order instead, so that a group of a
+    third of all rows lies in several ranges; a place is that within the range and the number of rows of the group in earlier
+    ranges, of which there is one count per range.
+    """
+    from tessera.staging import parallelism, stage
+
+    ranged = stage(df.repartitionByRange(parallelism(df.sparkSession), *by, *order).withColumn("__p", F.spark_partition_id()), "positions")
+    counts = ranged.groupBy(*by, "__p").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [*by, "__p"]
+    offset = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__b"))
+    local = ranged.withColumn("__l", F.row_number().over(Window.partitionBy("__p", *by).orderBy(*order)) - 1)
+    same = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)]
+    return local.join(offset, same).select(*df.columns, (F.col("__b") + F.col("__l")).alias(out))
+
+
 def prefix_sums_2d(df: DataFrame, row: str, column: str, value: str, by: list[str] = (), out: str = "total") -> DataFrame:
     """The sum of all cells up to a cell's row and column, for a table of cells ``(row, column, value)``; a missing cell has no sum."""
     keys = [*by, "__m"]

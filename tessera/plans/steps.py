@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import FIRST_COMPLETED, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 @dataclass
 class Step:
     """A function of its parents' results.  ``retries`` more attempts follow a failure; ``loop`` repeats the step on its own result
-    until it returns False, at most ``most`` times."""
+    until it returns False, at most ``most`` times.  Only errors of ``retry_on`` are tried again."""
 
     name: str
     run: Callable[..., DataFrame]
@@ -23,6 +23,16 @@ class Step:
     wait: float = 0.0
     loop: Callable[[DataFrame, int], bool] | None = None
     most: int = 100
+    retry_on: tuple[type[Exception], ...] = (Exception,)
+
+
+@dataclass
+class Stop:
+    """What a step returns to end its branch: the result, if any, is saved, and no step that needs it is run.  With ``everything`` no
+    further step is begun at all."""
+
+    result: DataFrame | None = None
+    everything: bool = False
 
 
 class Graph:
@@ -69,19 +79,23 @@ class Graph:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path(name) + "/_SUCCESS")
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
-    def _one(self, name: str, parents: list[DataFrame]) -> DataFrame:
+    def _one(self, name: str, parents: list[DataFrame]) -> DataFrame | Stop:
         step = self.steps[name]
         for attempt in range(step.retries + 1):
             try:
                 result = step.run(*parents)
+                if isinstance(result, Stop):
+                    if result.result is not None:
+                        result.result.write.mode("overwrite").parquet(self.path(name))
+                    return result
                 for i in range(step.most):
                     if step.loop is None or not step.loop(result, i):
                         break
                     result = step.run(result)
                 result.write.mode("overwrite").parquet(self.path(name))
                 return self.spark.read.schema(result.schema).parquet(self.path(name))
-            except Exception:
-                if attempt == step.retries:
+            except Exception as e:
+                if attempt == step.retries or not isinstance(e, step.retry_on):
                     raise
                 time.sleep(step.wait)
         raise AssertionError
@@ -92,19 +106,34 @@ class Graph:
             if stale & set(self.steps[name].after):
                 stale.add(name)
         done: dict[str, DataFrame] = {}
+        dropped: set[str] = set()
+        running: dict = {}
         with ThreadPoolExecutor(self.workers) as pool:
             pending = list(self.order)
-            while pending:
-                ready = [n for n in pending if all(p in done for p in self.steps[n].after)]
-                todo = {}
-                for n in ready:
-                    if n not in stale and self.saved(n):
-                        done[n] = self.spark.read.parquet(self.path(n))
+            while pending or running:
+                for n in list(pending):
+                    after = self.steps[n].after
+                    if dropped & set(after):
+                        dropped.add(n)
+                        pending.remove(n)
+                    elif all(p in done for p in after):
+                        pending.remove(n)
+                        if n not in stale and self.saved(n):
+                            done[n] = self.spark.read.parquet(self.path(n))
+                        else:
+                            running[pool.submit(self._one, n, [done[p] for p in after])] = n
+                if not running:
+                    continue
+                for f in wait(running, return_when=FIRST_COMPLETED).done:  # a step begins as soon as its own parents have ended
+                    n, result = running.pop(f), f.result()
+                    if isinstance(result, Stop):
+                        dropped.add(n)
+                        if result.result is not None:
+                            done[n] = self.spark.read.schema(result.result.schema).parquet(self.path(n))
+                        if result.everything:
+                            pending = []
                     else:
-                        todo[n] = pool.submit(self._one, n, [done[p] for p in self.steps[n].after])
-                for n, f in todo.items():
-                    done[n] = f.result()
-                pending = [n for n in pending if n not in done]
+                        done[n] = result
         return done
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.windows import positions
+
 
 def read_queue(spark: SparkSession, path: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """A folder of JSON lines as a stream; what was taken is in the query's checkpoint."""
@@ -19,16 +21,16 @@ def put(items: DataFrame, path: str) -> None:
 
 
 def fifo(log: DataFrame, queue: str = "queue_id", order: list[str] = ("seq",)) -> DataFrame:
-    """``log`` with ``pos``: the place of each item in its queue, from 0."""
-    return log.withColumn("pos", F.row_number().over(Window.partitionBy(queue).orderBy(*order)) - 1)
+    """``log`` with ``pos``: the place of each item in its queue, from 0.  A long queue is spread over tasks."""
+    return positions(log, [queue], list(order))
 
 
 def peek(log: DataFrame, index: int, queue: str = "queue_id", order: list[str] = ("seq",)) -> DataFrame:
-    """The item at an index of each queue, from the end for negative ones."""
-    if index >= 0:
-        return fifo(log, queue, order).where(F.col("pos") == index).drop("pos")
-    w = Window.partitionBy(queue).orderBy(*[F.desc(c) for c in order])
-    return log.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == -index).drop("__r")
+    """The item at an index of each queue, from the end for negative ones.  A task keeps no more rows of a queue than the index asks for."""
+    w = Window.partitionBy(queue).orderBy(*[F.desc(c) if index < 0 else F.asc(c) for c in order])
+    place = -index if index < 0 else index + 1
+    # the limit is pushed below the shuffle, the equality is not
+    return log.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= place).where(F.col("__r") == place).drop("__r")
 
 
 def replay(operations: DataFrame, queue: str = "queue_id", op: str = "op", op_id: str = "operation_id", order: list[str] = ("ts",)) -> DataFrame:
