@@ -63,18 +63,18 @@ def p2_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
 LISTS = ("turns", "artifacts")
 
 
-def current_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(session_id, manifest_id, manifest)``: the complete manifest written last of each session."""
+def newest_manifests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(session_id, manifest_id)`` of the complete manifest written last of each session, staged."""
     saved = table(spark, sf_dir, "session_manifests")
     named = saved.select(whole_json_field(F.col("manifest"), "session_id").alias("session_id"), "written_at", "manifest_id").where("session_id is not null")
     # the newest are chosen by ids alone: no manifest is shuffled that is not needed
-    newest = stage(diff.latest(named, ["session_id"], ["written_at", "manifest_id"]).select("session_id", "manifest_id"), "newest")
-    return saved.select("manifest_id", "manifest").join(newest, "manifest_id")
+    return stage(diff.latest(named, ["session_id"], ["written_at", "manifest_id"]).select("session_id", "manifest_id"), "newest")
 
 
 def manifest_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The sessions, turns and artifacts of the current manifests, tied by session_id and turn_number."""
-    current = current_manifests(spark, sf_dir)
+    newest = newest_manifests(spark, sf_dir)
+    current = table(spark, sf_dir, "session_manifests").select("manifest_id", "manifest").join(newest.select("manifest_id"), "manifest_id", "left_semi")
     nodes = stage(shred.shred(current, "manifest_id", "manifest", LISTS), "nodes")
     times = ["creation_timestamp", "end_timestamp"]
     sessions = shred.table(nodes, "", {c: c for c in ["session_id", *times, "session_type", "status", "session_dir", "session_log_file"]})
@@ -82,7 +82,7 @@ def manifest_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFr
     turns = turns.withColumn("turn_number", shred.to_integer(F.col("turn_number")))
     artifacts = shred.table(nodes, "/turns/artifacts", {"path": "path", "type": "type", "producer": ["producer", "class_name"], "timestamp": "timestamp", "step": "step"})
     artifacts = artifacts.withColumn("step", shred.to_integer(F.col("step")))
-    key = sessions.select("doc", F.col("session_id"))
+    key = newest.select(F.col("manifest_id").alias("doc"), "session_id")
     turns = stage(turns.join(key, "doc").select("doc", "node", "session_id", "turn_number", "start_timestamp", "end_timestamp", "log_file"), "turns")
     of = turns.select("doc", F.col("node").alias("parent"), "session_id", "turn_number")
     artifacts = artifacts.join(of, ["doc", "parent"]).select("doc", "node", "parent", "session_id", "turn_number", "path", "type", "producer", "timestamp", "step")

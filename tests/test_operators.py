@@ -396,3 +396,67 @@ def test_idle_and_limited(spark):
     assert [(r.k, r.suppressed) for r in sessions.rate_limited(df, "k", "ts", 300).orderBy("k", "ts").collect()] == [("a", 1), ("a", 0), ("b", 0)]
     out = sessions.session_windows(df, "ts", "4 minutes", ["k"], F.count("*").alias("n"))
     assert sorted((r.k, r.n) for r in out.collect()) == [("a", 1), ("a", 2), ("b", 1)]
+
+
+# ---- places in groups, plans that stop
+
+
+def test_positions_of_hot_and_null_groups(spark):
+    rows = [("hot", i) for i in range(500)] + [(None, i) for i in range(40)] + [("one", 7)]
+    df = spark.createDataFrame(rows, "k string, o int").repartition(5)
+    got = {(r.k, r.o): r.pos for r in windows.positions(df, ["k"], ["o"]).collect()}
+    assert got == {("hot", i): i for i in range(500)} | {(None, i): i for i in range(40)} | {("one", 7): 0}
+    assert windows.positions(df.limit(0), ["k"], ["o"]).count() == 0
+    assert sorted(r.pos for r in windows.positions(df.where("k = 'one'"), [], ["o"]).collect()) == [0]
+
+
+def test_a_stopped_branch(spark):
+    from tessera.plans import steps
+    from tessera.staging import new_path
+
+    seen = []
+
+    def count(df):
+        seen.append("count")
+        return df.groupBy().count()
+
+    def stop(df):
+        return steps.Stop(df.limit(1))
+
+    made = steps.Graph(
+        spark,
+        [steps.Step("read", lambda: spark.range(10)), steps.Step("stop", stop, ["read"]), steps.Step("after", count, ["stop"]), steps.Step("beside", count, ["read"])],
+        new_path(spark, "steps"),
+    )
+    done = made.run()
+    assert set(done) == {"read", "stop", "beside"} and done["stop"].count() == 1 and seen == ["count"]
+
+    def fail():
+        seen.append("fail")
+        raise TypeError("a mistake")
+
+    with pytest.raises(TypeError):
+        steps.Graph(spark, [steps.Step("fail", fail, retries=3, retry_on=(OSError,))], new_path(spark, "steps")).run()
+    assert seen.count("fail") == 1
+
+
+def test_theta_join_with_ties_and_nulls(spark):
+    from tessera.operators import pairs
+
+    a = spark.createDataFrame([(i % 7 if i % 11 else None, i) for i in range(60)], "x int, i int")
+    b = spark.createDataFrame([(i % 5 if i % 13 else None, i) for i in range(50)], "y int, j int")
+    test = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+    for op, f in test.items():
+        want = sorted((r.i, s.j) for r in a.collect() for s in b.collect() if r.x is not None and s.y is not None and f(r.x, s.y))
+        assert sorted((r.i, r.j) for r in pairs.theta_join(a, b, "x", op, "y", ranges=4).collect()) == want
+    assert pairs.theta_join(a.limit(0), b, "x", "<", "y").count() == 0 == pairs.theta_join(a, b.limit(0), "x", "<", "y").count()
+
+
+def test_acyclic_order_finds_cycles(spark):
+    from tessera.operators import graph
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "d"), ("a", "c"), ("c", "d"), ("a", "d"), (None, "d")], "source_id string, target_id string")
+    assert {r.node: r["rank"] for r in graph.acyclic_order(edges).collect()} == {"a": 0, "b": 1, "c": 1, "d": 2}
+    assert graph.acyclic_order(edges.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="cycle"):
+        graph.acyclic_order(edges.union(spark.createDataFrame([("d", "a")], edges.schema)))
