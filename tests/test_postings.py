@@ -1,6 +1,7 @@
 """Many queries against many texts: blocks against brute force, and what travels."""
 
 import random
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -58,11 +59,12 @@ def test_blocks_find_what_brute_force_finds(monkeypatch, small):
 
 def shuffled_rows(spark, run):
     """Rows written to shuffles while ``run`` runs."""
-    spark.sparkContext.setJobGroup("shuffled", "")
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
     run()
     tracker, store = spark.sparkContext.statusTracker(), spark.sparkContext._jsc.sc().statusStore()
     spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(10_000)
-    stages = {s for j in tracker.getJobIdsForGroup("shuffled") for s in tracker.getJobInfo(j).stageIds}
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
     spark.sparkContext._jsc.sc().clearJobGroup()
     return sum(store.lastStageAttempt(s).shuffleWriteRecords() for s in stages)
 
@@ -82,9 +84,22 @@ def test_bm25_of_many_queries_shuffles_no_postings(spark):
     assert sorted(map(tuple, found["x"])) == sorted(map(tuple, search.bm25(docs, "id", F.col("text"), asked, "q", F.col("text"), 4).collect()))
 
 
+def test_overlaps_of_many_queries_shuffle_no_postings(spark):
+    docs = common_words(spark)
+    found = {}
+    asked = docs.where("id % 10 = 0").select(F.col("id").alias("q"), "text")
+    assert shuffled_rows(spark, lambda: found.update(x=search.term_overlaps(docs, "id", F.col("text"), asked, "q", F.col("text"), 4).collect())) < 200
+    for q in (0, 290):
+        one = search.term_overlap(docs, "id", F.col("text"), docs.where(F.col("id") == q).first().text.split(), 4).collect()
+        assert [(r.id, r.score) for r in sorted(found["x"], key=lambda r: r["rank"]) if r.query_id == q] == [(r.id, r.score) for r in one]
+
+
 def test_odd_texts_and_ids(spark):
     docs = spark.createDataFrame([(1, "red bolt"), (1, "red bolt red"), (None, "red ring"), (2, None), (3, ""), (4, "?!")] + [(i, f"leaf w{i}") for i in range(10, 20)], "id bigint, text string")
     asked = spark.createDataFrame([(7, "Red, ring"), (8, None), (9, "?"), (10, "unheard"), (None, "bolt")], "q bigint, t string")
     rows = search.bm25_many(docs, "id", F.col("text"), asked, "q", F.col("t"), 5).collect()
     assert {(r.query_id, r.id, r["rank"]) for r in rows} == {(7, None, 1), (7, 1, 2), (7, 1, 3), (None, 1, 1), (None, 1, 2)}
+    over = search.term_overlaps(docs, "id", F.col("text"), asked, "q", F.col("t"), 2).collect()
+    assert {(r.query_id, r.id, r.score, r["rank"]) for r in over} == {(7, None, 1.0, 1), (7, 1, 0.5, 2), (None, 1, 1.0, 1), (None, 1, 1.0, 2)}
+    assert search.term_overlaps(docs.limit(0), "id", F.col("text"), asked, "q", F.col("t"), 5).count() == 0
     assert search.bm25_many(docs.limit(0), "id", F.col("text"), asked, "q", F.col("t"), 5).count() == 0
